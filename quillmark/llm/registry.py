@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import language_id, ngram_join, packing, substring_dedup
 
 QUERIES = {
+    "op4_language_id": language_id.op4_language_id,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_packing": packing.op7_packing,
     "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 ORACLES: dict[str, str] = {}

@@ -22,11 +22,16 @@ PACKED_DDL = "bucket int, block long, meta boolean, ids binary, sizes binary, re
 SETS_DDL = "doc_id long, n_shingles long, hashes array<long>"
 BLOCK_BYTES = 4 << 20
 NOBODY = np.uint16(0xFFFF)
-DROP = U(12)  # a token is the upper 52 bits of a hash
+
+
+def dropped_bits(buckets: int) -> np.uint64:
+    """A token is the upper bits of a hash: 40 and as many as tell the buckets apart, so that the difference of
+    neighbours in a full row fits 4 bytes and the share of accidental matches doesn't grow with the corpus."""
+    return U(max(0, 24 - max(1, buckets).bit_length()))
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
-    """Sorted 52-bit values as first value and differences, of 4 bytes each where they fit."""
+    """Sorted values as first value and differences, of 4 bytes each where they fit."""
     gaps = np.diff(sorted_values)
     first = sorted_values[:1].astype("<u8").tobytes()
     if not len(gaps) or gaps.max() < U(1 << 32):
@@ -66,7 +71,8 @@ def block_rows(part: pa.RecordBatch, block: int, n: int, k: int) -> list[tuple]:
     doc, h = shingle_sets(Words(part.column("text"), True), k)
     ids = np.array(part.column("doc_id"), np.int64)
     sizes = np.bincount(doc, minlength=len(ids)).astype("<u4")
-    token = h >> DROP
+    drop = dropped_bits(n)
+    token = h >> drop
     order = np.argsort(token, kind="stable")
     token, doc = token[order], doc[order].astype("<u2")
     begins = np.ones(len(token), bool)
@@ -75,7 +81,7 @@ def block_rows(part: pa.RecordBatch, block: int, n: int, k: int) -> list[tuple]:
     alone = np.bincount(run)[run] == 1 if len(run) else np.zeros(0, bool)
     rows = [(block % n, block, True, ids.tobytes(), sizes.tobytes(), doc[~alone].tobytes(), token[~alone].astype("<u8").tobytes())]
     token, doc = token[begins], np.where(alone[begins], doc[begins], NOBODY).astype("<u2")
-    ends = np.searchsorted(bucket_of(token << DROP, n), np.arange(n + 1))
+    ends = np.searchsorted(bucket_of(token << drop, n), np.arange(n + 1))
     rows += [(b, block, False, None, None, doc[x:y].tobytes(), pack(token[x:y])) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
     return rows
 
