@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import language_id, ngram_join, packing, substring_dedup
+from . import chat_format, language_id, ngram_join, packing, secret_scan, substring_dedup, topk_search, url_filter
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op4_language_id": language_id.op4_language_id,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_packing": packing.op7_packing,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_topk_search": topk_search.op10_topk_search,
+}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE,
+    "op10_topk_search": topk_search.ORACLE,
 }
-ORACLES: dict[str, str] = {}
