@@ -2,9 +2,59 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.llm.common import materialize, table
+from quillmark.llm.decontaminate import contamination
+from quillmark.llm.language_id import identify
+from quillmark.llm.line_dedup import dedup_lines
+from quillmark.llm.ngram_join import keep_one
+from quillmark.llm.packing import pack_documents
+
+#: A document goes whose text needs more phrases for a letter than this: no learnt language fits it. Clean text needs about 0.2.
+NO_LANGUAGE = 0.75
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter or in none of the learnt languages; the label stays the input's."""
+    told = identify(docs).where((F.col("lang_pred") == "und") | (F.col("phrase_rate") > NO_LANGUAGE)).select("doc_id").distinct()
+    return docs.join(told, "doc_id", "left_anti").select(docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop repeated lines, and documents of which only blank lines are left; n_chars follows the text."""
+    done = dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text"), F.lit(" \n\t\r")) == "")
+    done = done.where(~F.coalesce(emptied, F.lit(False)))
+    return done.select(*(F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the one of the smallest doc_id, of each group of linked ones."""
+    return keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    leaks = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("ngram_join", near_copy_stage), ("decontaminate", benchmark_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written as Parquet and read again as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, ngram_join, packing, secret_scan, substring_dedup, topk_search, url_filter
+from . import chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, secret_scan, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_language_id": language_id.op4_language_id,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,
