@@ -18,15 +18,27 @@ MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("s
 BINS = pa.schema([("fill", pa.int32()), ("done", pa.bool_()), ("members", MEMBERS)])
 BINS_DDL = "fill int, done boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
 LOCAL_ITEMS = 20_000  # that one best-fit run holds
-MOST_CACHED = 600_000
+MOST_CACHED = 900_000
 _tokenizers: dict = {}
 
 
+def latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space, so that the ids of a text are those of its chunks.
+    """Ids of whole texts by a tokenizer that folds case, drops white space and marks the ends of words.
 
-    Chunks (what stands between spaces and line ends) are encoded once and kept while there is room. A chunk of Latin
-    letters and final stops is looked up by its lower-case letters, as the tokenizer folds case and splits off stops.
+    As white space separates, the ids of a text are those of its chunks (what stands between spaces and line ends), which
+    are encoded once and kept while there is room. Latin-1 texts are lower-cased first, as the tokenizer does. Chunks of
+    letters are encoded many at a time, in one text: each is one word, so its ids end at the mark. Final stops are
+    words of their own. Any other chunk is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -34,37 +46,49 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
-
-    def split(self, chunk: str) -> tuple[str, str]:
-        core = chunk.rstrip(".,!?;:")
-        if core.isalpha() and max(core) < "İ":
-            return core.lower(), chunk[len(core) :]
-        return chunk, ""
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > MOST_CACHED:
-            self.chunks = {"": b""}
-        if len(self.cores) > MOST_CACHED:
-            self.cores = {}
-        new = [c for c in chunks if c not in self.chunks]
-        parts = [self.split(c) for c in new]
-        missing = list({x for p in parts for x in p if x and x not in self.cores})
-        for core, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.cores[core] = np.array(e.ids, "<u4").tobytes()
-        self.cores[""] = b""
-        self.chunks.update((c, self.cores[a] + self.cores[b]) for c, (a, b) in zip(new, parts, strict=True))
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def encode_each(self, chunks: list[str]) -> None:
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
+            self.known[chunk] = np.array(e.ids, "<u4").tobytes()
+
+    def encode_words(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            edge = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(edge) == len(part) + 1:
+                raw = ids.tobytes()
+                self.known.update(zip(part, (raw[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)), strict=True))
+            else:
+                self.encode_each(part)
+
+    def learn(self, new: set[str]) -> None:
+        words = {c for c in new if c.isalpha() and latin(c)}
+        ending, odd = [], []
+        for chunk in new - words:
+            core = chunk.rstrip(".,!?;:")
+            if core != chunk and core.isalpha() and latin(core):
+                ending.append((chunk, core, chunk[len(core) :]))
+            else:
+                odd.append(chunk)
+        words |= {core for _, core, _ in ending if core not in self.known}
+        self.encode_words(list(words))
+        self.encode_each([*odd, *{stop for _, _, stop in ending if stop not in self.known}])
+        self.known.update((chunk, self.known[core] + self.known[stop]) for chunk, core, stop in ending)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, 4 bytes each."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = set().union(*split) if split else set()
-        if not known <= self.chunks.keys():
-            self.learn(known | {""})
-        if not known <= self.chunks.keys():  # room was made
-            self.learn(known | {""})
-        get = self.chunks.__getitem__
+        split = [(t.lower() if latin(t) else t).replace("\n", " ").split(" ") for t in texts]
+        chunks = set().union(*split)
+        if len(self.known) > MOST_CACHED:
+            self.known = {"": b""}
+        if new := chunks - self.known.keys():
+            self.learn(new)
+        get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
