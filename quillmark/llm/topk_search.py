@@ -25,52 +25,71 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([p.mean(1) for p in parts], 1) * root, np.stack([p.std(1) for p in parts], 1) * root
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, row by row; beyond what a double holds exactly, by Python's integers."""
-    if not len(q):
-        return np.zeros(0, np.int64)
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1]) < 2**53:
-        return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for u, v in zip(q, x, strict=True)], np.int64)
-
-
-def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
+def exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows i of q and j of x, by Python's integers: for values beyond what a double holds."""
+    return np.array([sum(int(a) * int(b) for a, b in zip(q[u], x[v], strict=True)) for u, v in zip(i, j, strict=True)], np.int64)
+
+
+def paired(q: tuple, x: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of rows, the sum of the products of several arrays; a million pairs at a time."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), 1 << 20):
+        part = slice(lo, lo + (1 << 20))
+        out[part] = sum(np.einsum("ij,ij->i", a[i[part]], b[j[part]]) for a, b in zip(q, x, strict=True))
+    return out
+
+
+DENSE = 0.1  # of a tile's pairs: from this share on a product of matrices costs less than picking pairs
+
+
+def survivors(q: tuple, x: tuple, alive: np.ndarray, bar: np.ndarray) -> None:
+    """Strike out the pairs whose bound is under the bar of their query."""
+    if alive.mean() > DENSE:
+        alive &= sum(a @ b.T for a, b in zip(q, x, strict=True)) >= bar[:, None]
+    else:
+        i, j = np.nonzero(alive)
+        gone = paired(q, x, i, j) < bar[i]
+        alive[i[gone], j[gone]] = False
+
+
+def search_tile(own: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, stats: list[tuple], levels: list[int], k: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    alive = ids[None, :] != own[:, None]
+    if whole and stats and len(ids) > 8 * k:
+        coarse = statistics(q, levels[0])
+        bound = np.where(alive, sum(a @ b.T for a, b in zip(coarse, stats[0], strict=True)), -np.inf)
+        probe = np.argpartition(-bound, 4 * k, 1)[:, : 4 * k]  # most promising first: they set the bar
+        score = np.where(np.take_along_axis(alive, probe, 1), np.einsum("id,ijd->ij", q, x[probe]), -np.inf)
+        bar = np.sort(score, 1)[:, -k]
+        bar = np.where(np.isfinite(bar), bar - 1e-6 * (np.abs(np.where(np.isfinite(bar), bar, 0)) + 1), -np.inf)
+        alive &= bound >= bar[:, None]
+        for s, fine in zip(levels[1:], stats[1:], strict=True):
+            survivors(statistics(q, s), fine, alive, bar)
+    if not whole:
+        i, j = np.nonzero(alive)
+        score = exact(q, x, i, j)
+    elif alive.mean() > DENSE:
+        all_scores = np.where(alive, q @ x.T, -np.inf)
+        least = np.partition(all_scores, -k, 1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+        i, j = np.nonzero(alive & (all_scores >= least[:, None]))
+        score = all_scores[i, j].astype(np.int64)
+    else:
+        i, j = np.nonzero(alive)
+        score = paired((q,), (x,), i, j).astype(np.int64)
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return own[i[keep]], ids[j[keep]], score[keep]
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of a block for each query. In a segment the product of two vectors is that of the means
     and at most that of the deviations; the sum over segments bounds the score from above (and, as |q|^2 + |x|^2 - 2qx,
     the distance from below). Candidates whose bound is under the query's k-th best so far go, coarse to fine."""
-    out: tuple[list, list, list] = ([], [], [])
-    levels = [s for s in SEGMENTS if s <= max(1, x.shape[1])]
-    stats = [statistics(x, s) for s in levels] if x.shape[1] else []
-    for lo in range(0, len(q), TILE):
-        tile, own = q[lo : lo + TILE], q_ids[lo : lo + TILE]
-        if not stats:
-            bound = np.zeros((len(tile), len(x)))
-        else:
-            mean, dev = statistics(tile, levels[0])
-            bound = mean @ stats[0][0].T + dev @ stats[0][1].T
-        for i, query in enumerate(tile):
-            other = np.flatnonzero(ids != own[i])
-            if not len(other):
-                continue
-            b = bound[i, other]
-            probe = other[np.argpartition(-b, min(4 * k, len(b) - 1))[: 4 * k]]  # most promising first: they set the bar
-            score = exact(np.broadcast_to(query, (len(probe), len(query))), x[probe])
-            bar = np.sort(score)[-k] if len(score) >= k else -np.inf
-            slack = 1e-6 * (abs(float(bar)) + 1) if np.isfinite(bar) else 0
-            left = other[b >= bar - slack]
-            for s, (mean, dev) in zip(levels[1:], stats[1:], strict=True):
-                qm, qd = statistics(query[None], s)
-                left = left[mean[left] @ qm[0] + dev[left] @ qd[0] >= bar - slack]
-            score = exact(np.broadcast_to(query, (len(left), len(query))), x[left])
-            top = best_of(ids[left], score, k)
-            out[0].append(np.full(len(top), own[i]))
-            out[1].append(ids[left][top])
-            out[2].append(score[top])
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)  # type: ignore[return-value]
+    whole = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1]) < 2**53
+    levels = [s for s in SEGMENTS if s <= x.shape[1]]
+    stats = [statistics(x, s) for s in levels]
+    parts = [search_tile(q_ids[lo : lo + TILE], q[lo : lo + TILE], ids, x, stats, levels, k, whole) for lo in range(0, len(q), TILE)]
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +143,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     asked = sound.where(F.col("vec_id") % every == 0)
     sides = max(1, -(-asked.count() // QUERY_BLOCK))
-    slots = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sound.count() // ROWS_EACH))
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sound.count() // ROWS_EACH))
     ddl = "dim int, small boolean, ids binary, data binary"
     shape = ["dim", "side", "slot", "small", "ids", "data"]
     questions = asked.repartition(sides, F.xxhash64("vec_id")).sortWithinPartitions("vec_id").mapInArrow(packed, ddl).withColumn("side", F.pmod(F.xxhash64("ids"), F.lit(sides)).cast("int"))
