@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 NO_BRACES = str.maketrans("", "", "{}")
+EACH = r"EACH\(([^)]*)\)"  # a row for each of some values: the engines name this differently
 
 SQL = {
     # one row for each question of an assessment
@@ -34,7 +35,7 @@ SQL = {
           cast(0.50 + ((part + supp + 7 * k) % 50) / 100.0 as decimal(4,2)) as confidence,
           case when (part + k) % 4 = 0 then 'Core contradiction identified' else 'Minor contradiction identified' end as notes,
           case (supp + k) % 4 when 0 then 'conflict_flagged' when 1 then 'fused_agreement' else 'local' end as provenance
-        from {question_results} cross join (values (0), (1), (2)) as t(k)""",
+        from (select *, EACH(0, 1, 2) as k from {question_results})""",
     # proposals of an external evaluator for some criteria, with statuses outside the vocabulary and confidences out of range
     "proposed_evidence": """
         select assessment_id, question_id, case when ord = 5 then 'c9' else criterion_id end as criterion_id,
@@ -71,7 +72,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = SQL[name]
     used = {n: table(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))}
-    return spark.sql(sql, **used)
+    return spark.sql(re.sub(EACH, r"explode(array(\1))", sql), **used)
+
+
+def duck(sql: str) -> str:
+    """Derived-table SQL as DuckDB reads it."""
+    return re.sub(EACH, r"unnest([\1])", sql.translate(NO_BRACES))
 
 
 def with_tables(body: str, *names: str) -> str:
@@ -87,7 +93,7 @@ def with_tables(body: str, *names: str) -> str:
 
     for n in names or [n for n in SQL if re.search(rf"\b{n}\b", body)]:
         need(n)
-    parts = [f"{n} as ({SQL[n].translate(NO_BRACES)})" for n in done]
+    parts = [f"{n} as ({duck(SQL[n])})" for n in done]
     if parts and body.lstrip().lower().startswith("with "):
         return f"with {', '.join(parts)}, {body.lstrip()[5:]}"
     return f"with {', '.join(parts)} {body}" if parts else body

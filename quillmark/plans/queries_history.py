@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import history as H
 from quillmark.operators import results as R
 from quillmark.plans.entries import query, shared_folder
+from quillmark.plans.fixtures import EACH, duck
 from quillmark.plans.fixtures import table as T
 from quillmark.sources import ingest as I
 from quillmark.streaming import events as S
@@ -16,13 +18,13 @@ from quillmark.streaming import events as S
 OVERRIDE = """
   select l_orderkey as assessment_id, concat('Q', l_partkey, '-', l_suppkey, '-', l_linenumber) as question_id, l_shipdate as ts, l_partkey * 10 + k as event_id,
     cast(case when (l_partkey + k) % 5 = 0 then 60 when (l_partkey + k) % 7 = 0 then -1 else l_quantity + k end as decimal(10,2)) as teacher_marks, cast(case when l_suppkey % 4 = 0 then l_quantity + k + 1 end as decimal(10,2)) as criterion_sum
-  from {lineitem} cross join (values (0), (1)) as t(k) where l_tax >= 0.05"""
+  from (select *, EACH(0, 1) as k from {lineitem}) where l_tax >= 0.05"""
 REASON = "case when teacher_marks < 0 then 'negative_marks' when teacher_marks > max_marks then 'above_maximum' when abs(criterion_sum - teacher_marks) > 0.05 then 'criteria_do_not_add_up' end"
-V = f"(select o.*, {REASON} as reason, original_ai_marks from ({OVERRIDE.replace('{lineitem}', 'lineitem')}) o join question_results using (assessment_id, question_id))"
+V = f"(select o.*, {REASON} as reason, original_ai_marks from ({duck(OVERRIDE)}) o join question_results using (assessment_id, question_id))"
 
 
 def overrides(s, d):
-    return s.sql(OVERRIDE, lineitem=T(s, d, "lineitem"))
+    return s.sql(re.sub(EACH, r"explode(array(\1))", OVERRIDE), lineitem=T(s, d, "lineitem"))
 
 
 def checked(s, d):
@@ -74,7 +76,7 @@ def s6(s, d):
     known = I.read_results(s, path)
     done, log = H.finalize(totals(s, d), finals(s, d))
     again = H.snapshots(done.drop("revision_index").join(log.select("assessment_id", "revision_index"), "assessment_id"), known)
-    return again.agg(F.count("*").alias("written_again")).crossJoin(known.agg(F.count("*").alias("written")))
+    return again.select(F.lit(1).alias("again")).unionByName(known.select(F.lit(0).alias("again"))).agg(F.count_if(F.col("again") == 1).alias("written_again"), F.count_if(F.col("again") == 0).alias("written"))
 
 
 @query("p27_canonical_hash")
