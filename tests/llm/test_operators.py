@@ -271,6 +271,43 @@ def test_line_dedup_recall(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def left_over(texts):
+    """How many lines stay when all pairs are compared."""
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in texts]
+    least = list(range(len(texts)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                least[max(x, y)] = min(x, y)
+    return sum(find(i) == i for i in range(len(texts)))
+
+
+@pytest.mark.parametrize("edits, families, variants", [(2, 30, 30), (3, 3, 200)])
+def test_line_dedup_families(spark, edits, families, variants):
+    """Variants of one line lead each other's bands without being similar; those that are similar to another must still go."""
+    r = random.Random(edits)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(2000)]
+    texts = []
+    for _ in range(families):
+        base = [r.choice(vocabulary) for _ in range(r.randint(14, 40))]
+        for _ in range(variants):
+            own = list(base)
+            for at in r.sample(range(len(own)), edits):
+                own[at] = r.choice(vocabulary)
+            texts.append(" ".join(own))
+    texts = sorted(set(texts))
+    gone = line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    stay = left_over(texts)
+    assert stay <= len(texts) - gone <= stay + 0.02 * len(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
