@@ -15,14 +15,21 @@ from .common import table
 from .hashing import slices, text_bytes
 
 TRAIN_DOCS, TRAIN_CHARS = 60, 36_000  # of each language, at most
-SYMBOLS = 46  # letters that the automata tell apart
+SYMBOLS = 46  # letters that have a column in the automata; transitions by other ones are looked up
 SEGMENT = 1024  # a phrase doesn't run over the edge of a segment of so many symbols
 BLOCK_BYTES = 3 << 20
 OUT_DDL = "doc_id long, lang_pred string, score double, phrase_rate double"
 
 
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """The transitions of the suffix automaton of a text: a row for each state, -1 where there is none."""
+@lru_cache(1)
+def unicode_letters() -> list[tuple[int, str]]:
+    """Code point and lower case of every letter."""
+    return [(i, chr(i).lower()) for i in range(0x110000) if chr(i).isalpha()]
+
+
+def automaton(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions of the suffix automaton of a text: a row for each state, -1 where there is none, and
+    (state, symbol, next state) for symbols from ``width`` on."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -49,10 +56,14 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                 link[q] = link[cur] = clone
         last = cur
     out = np.full((len(nxt), width), -1, np.int64)
+    rare = []
     for i, row in enumerate(nxt):
         for c, j in row.items():
-            out[i, c] = j
-    return out
+            if c < width:
+                out[i, c] = j
+            else:
+                rare.append((i, c, j))
+    return out, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class CrossParser:
@@ -64,30 +75,42 @@ class CrossParser:
 
     def __init__(self, training: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in training]
-        seen = Counter(c for _, t in training for c in t.lower() if c.isalpha())
-        letters = {c: i + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS])}
+        seen = Counter(c.lower() for _, t in training for c in t if c.isalpha())
         self.width = SYMBOLS + 2
-        self.symbol = np.zeros(65_537, np.uint8)
-        for i in range(65_536):
-            c = chr(i)
-            if c.isalpha():
-                self.symbol[i] = letters.get(c.lower(), SYMBOLS + 1)
+        # from 1 on the commonest; 0 is the separator and SYMBOLS + 1 a letter that no training text has
+        letters = {c: i + 1 if i < SYMBOLS else i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
+        self.symbol = np.zeros(0x110000, np.int32)
+        for i, c in unicode_letters():
+            self.symbol[i] = letters.get(c, SYMBOLS + 1)
+        self.span = len(letters) + 3  # more than any symbol
+        keys, values = [], []
         tables, self.root, at = [], [], 0
         for _, t in training:
-            move = automaton(self.symbols(np.frombuffer(t.encode("utf-32-le", "replace"), "<u4")), self.width)
+            move, rare = automaton(self.symbols(np.frombuffer(t.encode("utf-32-le", "replace"), "<u4")), self.width)
             move[:, SYMBOLS + 1] = -1
             begin = move[0]
             jump = np.where(begin >= 0, begin, 0)
             step = np.where(move >= 0, (move + at) * self.width * 4, (jump + at) * self.width * 4 + 1 + (begin < 0))
             step[0] = (jump + at) * self.width * 4 + (begin < 0)  # at the root no phrase is open
             self.root.append(at * self.width)
+            keys.append((rare[:, 0] + at) * self.width * self.span + rare[:, 1])
+            values.append((rare[:, 2] + at) * self.width)
             at += len(move)
             tables.append(step)
         self.kind = np.int32 if at * self.width * 4 < 1 << 31 else np.int64
         self.table = np.concatenate(tables).ravel().astype(self.kind) if tables else np.zeros(0, np.int32)
+        self.rare_keys, self.rare_next = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, values))
+        order = np.argsort(self.rare_keys)
+        self.rare_keys, self.rare_next = self.rare_keys[order], self.rare_next[order]
+
+    def after_rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where symbols without a column lead to, -1 where there is no transition."""
+        key = np.asarray(state, np.int64) * self.span + symbol
+        at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == key, self.rare_next[at], -1)
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        s = self.symbol[np.minimum(points, 65_536)]
+        s = self.symbol[points]
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
         return s[keep]
@@ -119,8 +142,17 @@ class CrossParser:
         count = np.zeros((len(self.langs), len(start)), np.int32)
         for t in range(size[0]):
             k = active[t]
+            row = grid[t, :k]
+            odd = np.flatnonzero(row >= self.width) if len(self.rare_keys) else ()
+            if len(odd):
+                rare = row[odd]
+                row[odd] = SYMBOLS + 1
             for lang in range(len(self.langs)):
-                v = self.table.take(state[lang, :k] + grid[t, :k])
+                v = self.table.take(state[lang, :k] + row)
+                if len(odd):
+                    old, begin = state[lang, odd], self.after_rare(self.root[lang], rare)
+                    on = self.after_rare(old, rare)
+                    v[odd] = np.where(on >= 0, on << 2, np.where(begin >= 0, (begin << 2) + 1, v[odd]))
                 count[lang, :k] += v & 3
                 state[lang, :k] = v >> 2
         count += state != np.array(self.root, self.kind)[:, None]
