@@ -80,7 +80,7 @@ def p18(s, d):
 
 @query("p11_display_number", f"{R} select region_id, ord::varchar as number from regions where role = 'QUESTION' and ord <= 999")
 def p11(s, d):
-    return regions(s, d).where("role = 'QUESTION' and ord <= 999").select("region_id", RG.display_number(F.col("text")).alias("number"))
+    return regions(s, d).where("role = 'QUESTION'").select("region_id", RG.display_number(F.col("text")).alias("number"))
 
 
 @query("p31_answer_anchor", f"{R} select region_id, 'Q' || regexp_extract(text, '^(\\d{{1,3}})', 1) as anchor from regions where role = 'QUESTION'")
@@ -293,13 +293,13 @@ def verdicts(s, d):
 
 @query("j22_attach_subquestions", f"{R} select s.document_id, s.region_id, s.document_id || '_' || (s.ord - 4) as parent_id, (s.ord - 4) || '(b)' as number from regions s where s.ord % 7 = 4 and (s.ord - 4) % 21 <> 0 and s.ord < 1000")
 def j22(s, d):
-    r = regions(s, d).where("ord < 1000")
+    r = regions(s, d)
     return GR.attach_subquestions(r, edges(s, d), verdicts(s, d)).select("document_id", "region_id", "parent_id", "number")
 
 
 @query("j23_promote_children", f"{R} select document_id, region_id, (ord - 4) || '(b)' as number from regions where ord % 21 = 4 and ord < 1000")
 def j23(s, d):
-    return GR.promote_children(regions(s, d).where("ord < 1000"), edges(s, d), verdicts(s, d)).select("document_id", "region_id", "number")
+    return GR.promote_children(regions(s, d), edges(s, d), verdicts(s, d)).select("document_id", "region_id", "number")
 
 
 @query("j24_orphan_subquestions", f"{R} select document_id, region_id from regions where role = 'SUBQUESTION' and ord % 21 = 4")

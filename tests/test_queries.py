@@ -68,3 +68,13 @@ def test_stuck(spark, tmp_path):
 
     out = S.run_now(S.stuck_assessments(status(S.read_events(spark, str(tmp_path / "in")))), str(tmp_path / "run"))
     assert sorted(r.assessment_id for r in out.collect()) == [2, 3]
+
+
+def test_lines_after_the_thousandth(spark, tmp_path):
+    """Questions and parts of a very long document are all there."""
+    spark.createDataFrame([(1, "\n".join(f"the line of words {i}" for i in range(1100)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    at = lambda name: {int(r.region_id.split("_")[1]) for r in QUERIES[name](spark, str(tmp_path)).select("region_id").collect()}
+    assert at("p11_display_number") == set(range(0, 1100, 7))
+    parts = set(range(4, 1100, 7))
+    assert {i for i in parts if (i - 4) % 21} <= at("j22_attach_subquestions") <= parts
+    assert max(at("j23_promote_children")) >= 1000
