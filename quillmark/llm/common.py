@@ -73,3 +73,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         groups = materialize(groups.join(parent, groups.root == parent.old, "left").select("node", F.coalesce("new", "root").alias("root")), "groups")
     names = groups.groupBy("root").agg(F.min("node").alias("component"))
     return groups.join(names, "root").select("node", "component")
+
+
+def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` (node, component) of ``connected_components`` after more links (a, b): union-find of what is named so far."""
+    if links.isEmpty():
+        return components
+    now = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(now("a"), "a", "left").join(now("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    renamed = materialize(connected_components(between).select(F.col("node").alias("old"), F.col("component").alias("new")), "renamed")
+    old = components.join(renamed, components.component == renamed.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = renamed.join(components, renamed.old == components.component, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return materialize(old.union(fresh), "components")
