@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,13 +33,99 @@ def latin(text: str) -> bool:
     return True
 
 
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
+
+
+class Merges:
+    """Byte pair encoding of many words at once: in each step every word merges its first pair of the lowest rank."""
+
+    LONGEST = 24  # bytes of a word
+    SLOTS = 1 << 20
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, end: str):
+        symbols = byte_symbols()
+        self.plain, self.last = (np.array([vocabulary.get(c + tail, -1) for c in symbols], np.int64) for tail in ("", end))
+        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in merges]
+        key = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], np.int64)
+        self.keys, self.value = np.full(self.SLOTS, -1, np.int64), np.full(self.SLOTS, self.NONE, np.int64)
+        merged = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
+        for slot, k, v in zip(self.slot(key).tolist(), key.tolist(), (np.arange(len(pairs)) << 32 | merged).tolist(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % self.SLOTS
+            self.keys[slot], self.value[slot] = k, v
+
+    NONE = 1 << 62
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank << 32 | merged symbol of pairs, NONE where there is no merge."""
+        key = left << 32 | right
+        slot = self.slot(key)
+        found = self.value[slot]
+        other = np.flatnonzero((self.keys[slot] != key) | (left < 0) | (right < 0))
+        found[other] = self.NONE
+        other = other[(left[other] >= 0) & (right[other] >= 0)]
+        while len(other):  # on to the next slot while there is something else
+            slot[other] = (slot[other] + 1) % self.SLOTS
+            there = self.keys[slot[other]]
+            hit = there == key[other]
+            found[other[hit]] = self.value[slot[other[hit]]]
+            other = other[~hit & (there >= 0) & (self.keys[(slot[other] - 1) % self.SLOTS] >= 0)]
+        return found
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of 1 to LONGEST bytes, 4 bytes each."""
+        size = np.array([len(w) for w in words])
+        width = int(size.max(initial=1))
+        at = np.arange(width)
+        inside = at < size[:, None]
+        symbol = np.full(inside.shape, -1, np.int64)
+        symbol[inside] = self.plain[np.frombuffer(b"".join(words), np.uint8)]
+        symbol[np.arange(len(words)), size - 1] = self.last[[w[-1] for w in words]]
+        rank = np.full((len(words), width), self.NONE, np.int64)  # of each symbol and the next one
+        if width > 1:
+            rank[:, :-1] = self.look_up(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(-1, width - 1)
+        row = np.arange(len(words))
+        out = symbol.copy()
+        while len(row):
+            place = rank.argmin(1)
+            best = rank[np.arange(len(row)), place]
+            go = best < self.NONE
+            if not go.all():
+                out[row[~go]] = symbol[~go]
+                row, symbol, rank, place, best = row[go], symbol[go], rank[go], place[go], best[go]
+                if not len(row):
+                    break
+            each = np.arange(len(row))
+            source = np.minimum(at + (at > place[:, None]), width - 1)
+            last = symbol[:, -1:] * 0 - 1
+            symbol = np.where(at + (at > place[:, None]) < width, np.take_along_axis(symbol, source, 1), last)
+            rank = np.where(at + (at > place[:, None]) < width, np.take_along_axis(rank, source, 1), self.NONE)
+            symbol[each, place] = best & 0xFFFFFFFF
+            before = np.flatnonzero(place > 0)
+            rank[before, place[before] - 1] = self.look_up(symbol[before, place[before] - 1], symbol[before, place[before]])
+            after = np.minimum(place + 1, width - 1)
+            rank[each, place] = np.where(place + 1 < width, self.look_up(symbol[each, place], symbol[each, after]), self.NONE)
+        used = out >= 0
+        data = out[used].astype("<u4").tobytes()
+        edge = [0, *(4 * np.cumsum(used.sum(1))).tolist()]
+        return [data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that folds case, drops white space and marks the ends of words.
 
     As white space separates, the ids of a text are those of its chunks (what stands between spaces and line ends), which
     are encoded once and kept while there is room. Latin-1 texts are lower-cased first, as the tokenizer does. Chunks of
-    letters are encoded many at a time, in one text: each is one word, so its ids end at the mark. Final stops are
-    words of their own. Any other chunk is encoded by itself.
+    letters are one word each and are encoded many at a time (``Merges``). Final stops are words of their own. Any other
+    chunk is encoded by itself. A text that holds an added token, in either case, goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -46,9 +133,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        words = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(words.values()) + 1, bool)
-        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.added = [t["content"].lower() for t in told["added_tokens"]]
+        model = told["model"]
+        self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.known: dict[str, bytes] = {"": b""}
 
     def encode_each(self, chunks: list[str]) -> None:
@@ -56,15 +145,13 @@ class WordTokenizer:
             self.known[chunk] = np.array(e.ids, "<u4").tobytes()
 
     def encode_words(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 2000):
-            part = words[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            edge = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(edge) == len(part) + 1:
-                raw = ids.tobytes()
-                self.known.update(zip(part, (raw[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)), strict=True))
-            else:
-                self.encode_each(part)
+        words = sorted(words, key=len)  # of like lengths
+        raw = [w.encode() for w in words]
+        self.encode_each([w for w, r in zip(words, raw, strict=True) if len(r) > Merges.LONGEST])
+        for lo in range(0, len(words), 3000):
+            part = [(w, r) for w, r in zip(words[lo : lo + 3000], raw[lo : lo + 3000], strict=True) if len(r) <= Merges.LONGEST]
+            if part:
+                self.known.update(zip([w for w, _ in part], self.merges.encode([r for _, r in part]), strict=True))
 
     def learn(self, new: set[str]) -> None:
         words = {c for c in new if c.isalpha() and latin(c)}
@@ -76,20 +163,28 @@ class WordTokenizer:
             else:
                 odd.append(chunk)
         words |= {core for _, core, _ in ending if core not in self.known}
-        self.encode_words(list(words))
-        self.encode_each([*odd, *{stop for _, _, stop in ending if stop not in self.known}])
+        folded = {w for w in words if w.lower() != w}  # of texts that aren't Latin-1: as the tokenizer folds them
+        self.encode_words(list(words - folded))
+        self.encode_each([*odd, *folded, *{stop for _, _, stop in ending if stop not in self.known}])
         self.known.update((chunk, self.known[core] + self.known[stop]) for chunk, core, stop in ending)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, 4 bytes each."""
-        split = [(t.lower() if latin(t) else t).replace("\n", " ").split(" ") for t in texts]
+        split, whole = [], {}
+        for i, t in enumerate(texts):
+            low = t.lower()
+            if "<" in low and any(a in low for a in self.added):
+                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                split.append([])
+            else:
+                split.append((low if latin(t) else t).replace("\n", " ").split(" "))
         chunks = set().union(*split)
         if len(self.known) > MOST_CACHED:
             self.known = {"": b""}
         if new := chunks - self.known.keys():
             self.learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [whole[i] if i in whole else b"".join(map(get, s)) for i, s in enumerate(split)]
 
 
 def pieces(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -176,7 +271,7 @@ def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(np.repeat(sequence, at)), pa.array(ends - length - np.repeat(first, at))], [*columns, "sequence_id", "offset"])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, slack: int = 0, most_rounds: int = 12) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, slack: int = 2, most_rounds: int = 12, least_saved: float = 0.005) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of ``docs`` (integer doc_id, text).
 
     A document is the ids of its text by the tokenizer file ``tokenizer`` and then ``end_id``; a null text is empty. Only a
@@ -185,7 +280,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
     Hierarchical residual packing: each partition packs its pieces by best fit, bounded runs of ``LOCAL_ITEMS`` at a time;
     bins with ``slack`` or less left are done. The others are merged in a tree: groups of a bounded number of underfull
-    bins, as items, are packed by best fit again, until one group has seen them all or a round no longer saves bins. Only
+    bins, as items, are packed by best fit again, until one group has seen them all, a round saves less than the share
+    ``least_saved`` of its bins, or ``most_rounds`` are over. Only
     places and checksums move, not ids; each round is written to the shared folder.
     """
     spark = docs.sparkSession
@@ -201,7 +297,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         again = materialize(left.groupBy("group").applyInArrow(merge(capacity, slack), BINS_DDL), "bins")
         whole, left = whole.union(again.where("done")), again.where("not done")
         before, n = n, left.count()
-        if groups == 1 or n > 0.995 * before:
+        if groups == 1 or n > (1 - least_saved) * before:
             break
     every = whole.union(left).withColumn("sequence_id", F.monotonically_increasing_id())
     return every.select("members", "sequence_id").mapInArrow(placed, PIECES_DDL + ", sequence_id long, offset long")

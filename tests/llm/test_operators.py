@@ -129,6 +129,24 @@ def test_packing(spark, capacity):
     assert packing.pack_documents(frame(spark, []), path).count() == 0
 
 
+def test_tokenizer_on_odd_texts():
+    """Ids like the tokenizer's: words of every kind, added tokens in either case, marks and other scripts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, own, r = Tokenizer.from_file(path), packing.WordTokenizer(path), random.Random(11)
+    texts = ["x <|ENDOFTEXT|> y", "A<|EndOfText|>", "<|startoftext|>b <|endoftext|>", "<|STARTOFTEXT|>", "<|endoftext", "ªº µ ÿ ß É", "İstanbul CAFÉ naïve", "Straße\tDON'T we'll 's"]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöüßéèñóÉÄ"
+    for _ in range(3000):
+        kind = r.randrange(4)
+        n = r.randrange(1, 40 if kind == 0 else 14)
+        texts.append("".join(r.choice(letters if kind < 3 else letters + " .,!?'\n\t0123456789<|>-ДжΩ中\u0301") for _ in range(n)) + r.choice(["", ".", "?!", " ok", "\n"]))
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        assert own.ids(part) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
 def test_best_fit():
     sizes = np.array([rng.randrange(1, 100) for _ in range(3000)])
     bins = packing.best_fit(sizes, 100)
