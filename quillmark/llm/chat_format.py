@@ -47,7 +47,8 @@ def parse(chat: Column) -> Column:
 
     def turn(b: Column) -> Column:
         text = F.regexp_extract(b, pattern, 3)
-        role = F.when(b.rlike(pattern), unescape_role(F.regexp_extract(b, pattern, 1)))
+        sound = b.rlike(pattern) & ~F.contains(text, F.lit(OPEN))  # a turn that begins inside another is no turn
+        role = F.when(sound, unescape_role(F.regexp_extract(b, pattern, 1)))
         return F.struct(role.alias("role"), F.when(F.regexp_extract(b, pattern, 2) == "1", unescape(text)).otherwise(text).alias("text"))
 
     return F.transform(bodies, turn)
@@ -94,7 +95,7 @@ c as (select conv_id, count(*) n_turns,
         sum(length(replace(replace(replace(role, '\', '\\'), '|', '\b'), '<', '\l')) + length('<|turn:|0|><|end|>')) head,
         sum(length(text)) plain,
         sum(length(replace(replace(text, '\', '\\'), '<|', '<\|'))) escaped,
-        bool_or(contains(text, '<|end|>')) clash
+        bool_or(contains(text, '<|end|>') or contains(text, '<|turn:')) clash
       from t group by conv_id)
 select conv_id, n_turns, sha256(said) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256,
   (head + case when clash then escaped else plain end)::bigint formatted_chars, clash::integer as level from c
