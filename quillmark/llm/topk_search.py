@@ -15,6 +15,7 @@ QUERY_BLOCK = 4096  # queries that one task holds
 ROWS_EACH = 20_000  # candidates that one task holds
 TILE = 256  # queries that are bounded at once
 SEGMENTS = (1, 4, 16)  # coarse to fine
+LARGEST = np.finfo(np.float64).max  # where 256 times a component is more
 OUT_DDL = "query_id long, vec_id long, score long"
 
 
@@ -26,8 +27,10 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Inner products of the rows i of q and j of x, by Python's integers: for values beyond what a double holds."""
-    return np.array([sum(int(a) * int(b) for a, b in zip(q[u], x[v], strict=True)) for u, v in zip(i, j, strict=True)], np.int64)
+    """Inner products of the rows i of q and j of x, by Python's integers: for values beyond what a double holds. Products
+    beyond what a long holds become its least or largest value."""
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(q[u], x[v], strict=True)), low), high) for u, v in zip(i, j, strict=True)], np.int64)
 
 
 def paired(q: tuple, x: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -97,7 +100,8 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("embedding")
         size = np.array(lists.value_lengths(), np.int64)
-        value = np.floor(256 * np.array(lists.flatten().cast(pa.float64())))
+        with np.errstate(over="ignore"):
+            value = np.clip(np.floor(256 * np.array(lists.flatten().cast(pa.float64()))), -LARGEST, LARGEST)
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         ids, rows = np.array(batch.column("vec_id"), np.int64), []
         for d in np.unique(size):
@@ -132,7 +136,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     ``every``, the ``k`` rows of another vec_id with the highest inner product of floor(256 * x), ties to the smaller vec_id.
 
     Vectors that are null or hold a null, NaN or infinity take no part, nor do rows without vec_id; only vectors of one
-    dimension meet. Fewer than k others: all of them. Rows that repeat a vec_id count one by one; a query that repeats
+    dimension meet. A score beyond the range of a long is its nearest end, and such scores tie. Fewer than k others: all of them. Rows that repeat a vec_id count one by one; a query that repeats
     is answered once for its vec_id. Other columns are ignored.
 
     Queries and vectors are packed into blocks; each block of at most QUERY_BLOCK queries meets each block of about
@@ -151,7 +155,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     pool = sound.mapInArrow(packed, ddl).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int")).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).select(shape)
     found = questions.groupBy("dim", "side", "slot").cogroup(pool.groupBy("dim", "side", "slot")).applyInArrow(search(k), OUT_DDL)
     one = materialize(found, "hits")
-    best = one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id", "score"))), 1, k).alias("best"))
+    best = one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("down"), "vec_id", "score"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
