@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -189,13 +189,17 @@ def training_texts(docs: DataFrame, label: str) -> tuple[tuple[str, str], ...]:
     if the half of the sample that they aren't from puts them into their language too.
     """
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out())
-    langs = sorted(r[0] for r in rows.select(label).distinct().collect())
+    keys = rows.select(F.col(label).alias("label"), (~F.length("text").between(400, 6000)).alias("odd"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    first = keys.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("odd", "h", "t"))).where(F.col("rank") <= TRAIN_DOCS)
+    # hashes only are ranked; TRAIN_DOCS for each language at most, so that the join is a broadcast one
+    chosen = F.broadcast(first.groupBy("label", "h", "t").agg(F.min("rank").alias("rank")))
+    texts = rows.select(F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text").join(chosen, ["label", "h", "t"]).groupBy("label", "h", "t").agg(F.min("rank").alias("rank"), F.min("text").alias("text")).collect()
+    langs = sorted({r.label for r in texts})
     halves: tuple[list, list] = ([], [])
     for lang in langs:
-        own = rows.where(F.col(label) == lang).select("text", (F.length("text").between(400, 6000)).alias("handy"), F.xxhash64("doc_id").alias("h"), "doc_id")
-        texts = [r.text for r in own.orderBy(F.desc("handy"), "h", "doc_id").limit(TRAIN_DOCS).collect()]
+        texts_of = [r.text for r in sorted((r for r in texts if r.label == lang), key=lambda r: r.rank)]
         for i in (0, 1):
-            halves[i].append((lang, "\n".join(texts[i::2])[:TRAIN_CHARS]))
+            halves[i].append((lang, "\n".join(texts_of[i::2])[:TRAIN_CHARS]))
     kept = {lang: "" for lang in langs}
     for i in (0, 1):
         judge = CrossParser(tuple(halves[1 - i]))
@@ -220,16 +224,17 @@ def label_batches(training: tuple[tuple[str, str], ...]):
     return label
 
 
-def identify(docs: DataFrame, label: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, label: str = "lang", learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, lang_pred, score, phrase_rate for each row of ``docs`` (integer doc_id, text, and the label to learn from).
 
     The language whose training text needs the fewest phrases wins; as training texts are of one length, the counts are
     normalised. score is 1 - fewest / second fewest. A null text or one without a letter is ``und`` with score 0. Learnt
     only from rows with a label whose crc32(doc_id) mod 4 is not 2; without any, all is ``und``. Repeated rows, and rows
-    without doc_id, are judged like others. Other columns are ignored. The sample that goes to the driver and back is
+    without doc_id, are judged like others. ``learn_from`` is a table to learn from in place of ``docs``. Texts are parsed in
+    segments of SEGMENT symbols; by the longest match a cut adds at most one phrase to a segment. Other columns are ignored. The sample that goes to the driver and back is
     bounded by TRAIN_DOCS and TRAIN_CHARS for each language; the automata are built where they are used.
     """
-    training = training_texts(docs, label)
+    training = training_texts(docs if learn_from is None else learn_from, label)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label_batches(training), OUT_DDL)
 
 
