@@ -30,3 +30,18 @@ def test_run_and_names(spark):
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontaminate", "packing"]
+
+
+def test_rows_that_repeat_or_lack_an_id(spark):
+    """What is said of a text holds for its rows alone; no rows: none."""
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").where("length(text) > 100").first().text
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    good = "a clean line of words that nothing else has, honestly"
+    rows = [(None, f"before {item} after", "en", "s", 0), (None, good, "en", "s", 0), (None, "12 34", "en", "s", 0), (950_001, "12 34", "en", "s", 0), (950_001, good, "en", "s", 0), (950_002, item, "en", "s", 0), (950_002, None, "en", "s", 0)]
+    docs = docs.union(spark.createDataFrame(rows, docs.schema))
+    told = {(r.doc_id, r.text) for r in pipeline.language_stage(spark, docs, DIR).where("doc_id is null or doc_id > 950000").collect()}
+    assert told == {(None, rows[0][1]), (None, good), (950_001, good), (950_002, item)}
+    left = {(r.doc_id, r.text) for r in pipeline.benchmark_stage(spark, docs, DIR).where("doc_id is null or doc_id > 950000").collect()}
+    assert left == {(None, good), (None, "12 34"), (950_001, "12 34"), (950_001, good), (950_002, None)}
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
