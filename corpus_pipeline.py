@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import materialize, table
@@ -16,10 +16,26 @@ from quillmark.llm.packing import pack_documents
 NO_LANGUAGE = 0.75
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of doc_id and text as doc_id: what is said of a text then holds for its rows alone, also where
+    doc_id is null or repeats."""
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``bad`` (doc_id as of ``by_row``) names."""
+    bad = bad.select(F.col("doc_id").alias("bad_row")).distinct()
+    return docs.join(bad, row_key() == F.col("bad_row"), "left_anti").select(docs.columns)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or in none of the learnt languages; the label stays the input's."""
-    told = identify(docs).where((F.col("lang_pred") == "und") | (F.col("phrase_rate") > NO_LANGUAGE)).select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_anti").select(docs.columns)
+    """Drop documents without a letter (null texts too) or in none of the learnt languages; the label stays the input's.
+    Rows are judged one by one, by their texts; no row: none."""
+    return without(docs, identify(by_row(docs), learn_from=docs).where((F.col("lang_pred") == "und") | (F.col("phrase_rate") > NO_LANGUAGE)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +52,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    leaks = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Drop documents that hold a benchmark item. Rows are judged one by one, also those without doc_id; null texts stay."""
+    return without(docs, contamination(by_row(docs), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
