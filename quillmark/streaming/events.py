@@ -50,38 +50,38 @@ def live_totals(latest: DataFrame) -> DataFrame:
 def stuck_assessments(status: DataFrame, limit_s: int = LIMIT_S, late: str = LATE) -> DataFrame:
     """A failed row for each processing state that neither completes nor fails within ``limit_s`` seconds of event time.
 
-    One timer for each assessment: set by processing, cleared by completed or failed, fired by a later event or by the
-    watermark.
+    Each processing state has a timer of its own, kept in a list per assessment: completed or failed clears them all, a later
+    event or the watermark fires those that are over. Events up to the epoch (1970) are late from the start and not seen.
     """
 
+    limit = limit_s * 1_000_000
+
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else None
+        since = list(state.get[0]) if state.exists else []
         out = []
         if state.hasTimedOut:
-            out.append(since)
-            state.remove()
+            now = state.getCurrentWatermarkMs() * 1000
+            out, since = [s for s in since if now - s >= limit], [s for s in since if now - s < limit]
         else:
             rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
             for ts, what in zip(rows.ts, rows.state, strict=True):
                 now = int(ts.value // 1000)
-                if since is not None and now - since > limit_s * 1_000_000:
-                    out.append(since)
-                    since = None
-                if what == "processing" and since is None:
-                    since = now
+                out += [s for s in since if now - s > limit]
+                since = [s for s in since if now - s <= limit]
+                if what == "processing":
+                    since.append(now)
                 elif what in ("completed", "failed"):
-                    since = None
-            if since is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((since,))
-                state.setTimeoutTimestamp(max(since // 1000 + limit_s * 1000, state.getCurrentWatermarkMs() + 1))
+                    since = []
+        if since:
+            state.update((since,))
+            state.setTimeoutTimestamp(max(since[0] // 1000 + limit_s * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame({"assessment_id": [key[0]] * len(out), "started": [pd.Timestamp(s, unit="us") for s in out], "state": "failed"})
 
     grouped = status.withWatermark("ts", late).groupBy("assessment_id")
-    return grouped.applyInPandasWithState(follow, "assessment_id long, started timestamp, state string", "since long", "append", "EventTimeTimeout")
+    return grouped.applyInPandasWithState(follow, "assessment_id long, started timestamp, state string", "since array<long>", "append", "EventTimeTimeout")
 
 
 def read_events(spark: SparkSession, path: str, files_each: int = 1) -> DataFrame:

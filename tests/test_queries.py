@@ -61,13 +61,13 @@ def test_latest_status_as_batch(spark):
 
 
 def test_stuck(spark, tmp_path):
-    rows = [(1, 0, "click"), (1, 100, "purchase"), (2, 0, "click"), (2, 5000, "purchase"), (3, 0, "click"), (9, 90_000, "view")]
+    rows = [(1, 0, "click"), (1, 100, "purchase"), (2, 0, "click"), (2, 5000, "purchase"), (3, 0, "click"), (3, 600, "click"), (9, 90_000, "view")]
     events = spark.createDataFrame([(i, u, t, e) for i, (u, t, e) in enumerate(rows)], "event_id long, user_id long, s int, event_type string")
-    events.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type", F.lit(0.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    events.select("event_id", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"), "user_id", "event_type", F.lit(0.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.parquet(str(tmp_path / "in"))
     from quillmark.plans.queries_history import status
 
     out = S.run_now(S.stuck_assessments(status(S.read_events(spark, str(tmp_path / "in")))), str(tmp_path / "run"))
-    assert sorted(r.assessment_id for r in out.collect()) == [2, 3]
+    assert sorted(r.assessment_id for r in out.collect()) == [2, 3, 3]
 
 
 def test_lines_after_the_thousandth(spark, tmp_path):
