@@ -158,19 +158,19 @@ def j14b(s, d):
 
 def vectors(s, d):
     v = T(s, d, "embeddings").select(F.col("label").alias("corpus_id"), F.col("vec_id").alias("id"), "embedding")
-    return v.where("id % 25 = 0"), v.where("id % 25 <> 0")
+    return v.where("id % 50 = 0"), v
 
 
-@query("j15_dense_similarity", "select a.label as corpus_id, a.vec_id as left_id, b.vec_id as right_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))), 6) as similarity from embeddings a join embeddings b on a.label = b.label where a.vec_id % 25 = 0 and b.vec_id % 25 <> 0")
+@query("j15_dense_similarity", "select a.label as corpus_id, a.vec_id as left_id, b.vec_id as right_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))), 6) as similarity from embeddings a join embeddings b on a.label = b.label where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id")
 def j15(s, d):
     left, right = vectors(s, d)
-    return MT.dense_similarity(left, right).select("corpus_id", "left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    return MT.dense_similarity(left, right).where("left_id <> right_id").select("corpus_id", "left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("j16_semantic_candidates", "select corpus_id, left_id, right_id, rank::integer as rank from (select a.label as corpus_id, a.vec_id as left_id, b.vec_id as right_id, row_number() over (partition by a.label, a.vec_id order by round(greatest(0, least(1, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))), 4) desc, b.vec_id) rank from embeddings a join embeddings b on a.label = b.label where a.vec_id % 25 = 0 and b.vec_id % 25 <> 0) where rank <= 5")
+@query("j16_semantic_candidates", "select corpus_id, left_id, right_id, rank::integer as rank from (select a.label as corpus_id, a.vec_id as left_id, b.vec_id as right_id, row_number() over (partition by a.label, a.vec_id order by round(greatest(0, least(1, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))), 4) desc, b.vec_id) rank from embeddings a join embeddings b on a.label = b.label where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) where rank <= 5")
 def j16(s, d):
     left, right = vectors(s, d)
-    return MT.semantic_candidates(MT.dense_similarity(left, right).withColumn("similarity", F.round("similarity", 4))).select("corpus_id", "left_id", "right_id", "rank")
+    return MT.semantic_candidates(MT.dense_similarity(left, right).where("left_id <> right_id").withColumn("similarity", F.round("similarity", 4))).select("corpus_id", "left_id", "right_id", "rank")
 
 
 @query("j16_candidate_states")
