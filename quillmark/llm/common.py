@@ -56,13 +56,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Distributed union-find by contraction. In each round every group joins the neighbour that comes first in a
     hashed order, edges are renamed to the groups, and loops and repeats go. The hashed order makes the number of
-    rounds logarithmic even for long chains, and every round is a join and a pre-aggregated minimum, so that a
-    group of any size is never held by one task. Both tables of a round are written to the shared folder.
+    rounds logarithmic even for long chains. A round is a pre-aggregated minimum and two joins by group (a very large
+    group is one key there: AQE's skew split divides it); its parents and links are written to the shared folder, and
+    the parents of all rounds, fewer each time, are followed once at the end.
     Nulls and self-loops are ignored. No edges: no rows.
     """
-    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    links = materialize(links, "links")
-    groups = materialize(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node")), "groups")
+    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    groups = links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    first = True
     while not links.isEmpty():
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(priority("b")).alias("m"))
@@ -70,7 +72,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         left = links.join(parent, links.a == parent.old).select(F.col("new").alias("a"), "b")
         right = left.join(parent, left.b == parent.old).select("a", F.col("new").alias("b"))
         links = materialize(right.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        groups = materialize(groups.join(parent, groups.root == parent.old, "left").select("node", F.coalesce("new", "root").alias("root")), "groups")
+        if first:
+            groups, first = parent.select(F.col("old").alias("node"), F.col("new").alias("root")), False
+        else:
+            groups = groups.join(parent, groups.root == parent.old, "left").select("node", F.coalesce("new", "root").alias("root"))
+    groups = materialize(groups, "groups")
     names = groups.groupBy("root").agg(F.min("node").alias("component"))
     return groups.join(names, "root").select("node", "component")
 
