@@ -131,6 +131,12 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+def runs_of(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of each bucket that occurs in a sorted array."""
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return list(zip(bucket[begin].tolist(), begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True)) if len(begin) else []
+
+
 def slices(raw_at: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Cut texts into consecutive groups of about ``most`` bytes; a longer text is a group of its own."""
     out, i, n = [], 0, len(raw_at) - 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .hashing import U, Words, bucket_of, shingle_sets, slices, text_bytes
+from .hashing import U, Words, bucket_of, runs_of, shingle_sets, slices, text_bytes
 
 #: One row for each block and bucket. meta rows describe the block itself: its documents, their sizes, what is shared inside it.
 PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("meta", pa.bool_()), ("ids", pa.binary()), ("sizes", pa.binary()), ("refs", pa.binary()), ("hashes", pa.binary())])
@@ -81,8 +81,7 @@ def block_rows(part: pa.RecordBatch, block: int, n: int, k: int) -> list[tuple]:
     alone = np.bincount(run)[run] == 1 if len(run) else np.zeros(0, bool)
     rows = [(block % n, block, True, ids.tobytes(), sizes.tobytes(), doc[~alone].tobytes(), token[~alone].astype("<u8").tobytes())]
     token, doc = token[begins], np.where(alone[begins], doc[begins], NOBODY).astype("<u2")
-    ends = np.searchsorted(bucket_of(token << drop, n), np.arange(n + 1))
-    rows += [(b, block, False, None, None, doc[x:y].tobytes(), pack(token[x:y])) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
+    rows += [(b, block, False, None, None, doc[x:y].tobytes(), pack(token[x:y])) for b, x, y in runs_of(bucket_of(token << drop, n))]
     return rows
 
 

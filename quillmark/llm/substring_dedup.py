@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import n_buckets, table
-from .hashing import U, Words, bucket_of
+from .hashing import U, Words, bucket_of, runs_of
 from .shared_hashes import dropped_bits, pack, unpack
 
 #: Any two positions have a shift below PERIOD that takes both to cover positions: every remainder is a difference of two of these.
@@ -36,8 +36,7 @@ def anchors(words: Words, window: int, drop: np.uint64) -> tuple[np.ndarray, np.
 
 def sent_rows(block: int, values: np.ndarray, hashes: np.ndarray, owners: np.ndarray | None, n: int) -> pa.Table:
     """Sorted values, dealt out by the bucket of the hashes that they stand for."""
-    ends = np.searchsorted(bucket_of(hashes, n), np.arange(n + 1))
-    full = [(b, x, y) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
+    full = runs_of(bucket_of(hashes, n))
     return pa.Table.from_arrays([pa.array([b for b, _, _ in full], pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array([pack(values[x:y]) for _, x, y in full], pa.binary()), pa.array([None if owners is None else pack_ids(owners[x:y]) for _, x, y in full], pa.binary())], schema=SENT)
 
 
