@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +25,37 @@ ALLOW = r"^(?:[A-Za-z_/+-]+|[0-9_/+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in CLASSES))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(start, found) of the leftmost non-overlapping matches; start in code points.
 
-    The pieces between the matches are those of a split by the same pattern, so that their lengths add up to the places.
+    The pieces between the matches are those of a split by the same pattern, so that their lengths add up to the places:
+    first for runs of as many matches as the root of their number, then inside each run, so that no list grows by copies.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("found")))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start: int, found: string>>").alias("out"))
-    placed = F.aggregate(steps, start, lambda acc, s: F.struct((acc["end"] + s["gap"] + F.length(s["found"])).alias("end"), F.array_append(acc["out"], F.struct((acc["end"] + s["gap"]).alias("start"), s["found"].alias("found"))).alias("out")))["out"]
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast("array<struct<start: int, found: string>>"))
+    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("found")))
+    steps = F.filter(pairs, lambda s: s["found"].isNotNull())
+    total = lambda some: F.aggregate(some, F.lit(0), lambda n, s: n + s["gap"] + F.length(s["found"]))
+
+    def placed(steps: Column) -> Column:
+        run = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / run).cast("int")), lambda r: total(F.slice(steps, r * run + 1, run)))
+        begins = bound(totals, lambda all_: F.transform(all_, lambda _, r: F.aggregate(F.slice(all_, F.lit(1), r), F.lit(0), lambda n, x: n + x)))
+
+        def place(begins: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                r = F.floor(i / run).cast("int")
+                return F.struct((F.get(begins, r) + total(F.slice(steps, r * run + 1, i - r * run)) + s["gap"]).alias("start"), s["found"].alias("found"))
+
+            return F.transform(steps, one)
+
+        return bound(begins, place)
+
+    return F.when(text.rlike(pattern), bound(steps, placed)).otherwise(F.array().cast("array<struct<start: int, found: string>>"))
 
 
 def spans(found: Column, kind: str | Column) -> Column:
