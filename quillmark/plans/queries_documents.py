@@ -54,7 +54,13 @@ def pairs(s, d):
     return regions(s, d).withColumn("next_text", F.coalesce(F.lead("text").over(w), F.lit("")))
 
 
-@query("p15_choose_text_source")
+GARBLED = r"({0} = '' or (length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) >= 6 and (length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) / greatest(length({0}), 1) < 0.4 or not regexp_matches(regexp_replace({0}, '[^\p{{L}}]', '', 'g'), '[aeiouAEIOU]'))))"
+
+
+@query("p15_choose_text_source", f"""{R} select region_id, case when source = 'OCR' then o else m end as text, source
+  from (select *, case when m = '' then 'OCR' when o = '' then 'VLM_FALLBACK_EMPTY_OCR' when {GARBLED.format("o")} and not {GARBLED.format("m")} then 'VLM_FALLBACK_GARBLED_OCR' when {JACCARD} < 0.25 and length(m) >= 3 then 'VLM_OVERRIDE_LOW_AGREEMENT' else 'OCR' end as source
+    from (select *, list_distinct(regexp_extract_all(lower(o), '[a-z0-9]+')) a, list_distinct(regexp_extract_all(lower(m), '[a-z0-9]+')) b
+      from (select region_id, trim(text, E' \\t\\n\\r') as o, trim(coalesce(lead(text) over (partition by document_id order by ord), ''), E' \\t\\n\\r') as m from regions)))""")
 def p15(s, d):
     return pairs(s, d).withColumn("c", RG.choose_text_source(F.col("text"), F.col("next_text"))).select("region_id", "c.text", "c.source")
 
@@ -63,12 +69,26 @@ def hypotheses(s, d):
     return regions(s, d).withColumn("hypotheses", RG.classify_region(F.col("text"), F.col("y"), F.col("height"), F.lit(1000.0)))
 
 
-@query("p16_classify_region")
+#: What the text, the place and header terms say of each region, in this order.
+SAID = rf"""
+  (select region_id, unnest(list_filter([parser, case when coalesce(parser.type not in ('QUESTION', 'SUBQUESTION', 'OPTION'), true) then layout end, meta], lambda x: x is not null)) as h, generate_subscripts(list_filter([parser, case when coalesce(parser.type not in ('QUESTION', 'SUBQUESTION', 'OPTION'), true) then layout end, meta], lambda x: x is not null), 1) as i
+    from (select region_id, case when regexp_matches(t, '{RG.INSTRUCTION}') then {{type: 'INSTRUCTION', confidence: 0.90::double, source: 'parser'}} when regexp_matches(t, '{RG.SECTION}') then {{type: 'SECTION_HEADER', confidence: 0.95::double, source: 'parser'}}
+          when regexp_matches(t, '{RG.NUMBERED}') then {{type: 'QUESTION', confidence: case when regexp_matches(t, '{RG.ASKING}') then 0.92 else 0.80 end::double, source: 'parser'}} when regexp_matches(t, '{RG.PART}') or regexp_matches(t, '{RG.ROMAN_PART}') then {{type: 'SUBQUESTION', confidence: 0.82::double, source: 'parser'}}
+          when regexp_matches(t, '{RG.OPTION}') then {{type: 'OPTION', confidence: 0.88::double, source: 'parser'}} end as parser,
+        case when regexp_matches(t, '{RG.FIGURE}') then {{type: 'DIAGRAM', confidence: 0.90::double, source: 'layout_analyzer'}} when regexp_matches(t, '(?m)^\|.*?\|') or regexp_matches(t, '(?i)\bTable\s*\d*[:.\s]') or length(t) - length(replace(t, chr(9), '')) >= 2 then {{type: 'TABLE', confidence: 0.88::double, source: 'layout_analyzer'}}
+          when y / 1000 < 0.06 and not regexp_matches(t, '[.?!]$') and not regexp_matches(t, '{RG.PREFIXED}') then {{type: 'HEADER', confidence: 0.85::double, source: 'layout_analyzer'}} when (y + height) / 1000 > 0.94 then {{type: 'FOOTER', confidence: 0.85::double, source: 'layout_analyzer'}} end as layout,
+        case when regexp_matches(t, '{RG.METADATA}') then {{type: 'METADATA', confidence: 0.90::double, source: 'semantic_analyzer'}} end as meta
+      from (select *, trim(text, E' \t\n\r') as t from regions)))"""
+
+
+@query("p16_classify_region", f"{R} select region_id, h.type as type, h.confidence as confidence, h.source as source from {SAID}")
 def p16(s, d):
     return hypotheses(s, d).select("region_id", F.explode("hypotheses").alias("h")).select("region_id", "h.type", "h.confidence", "h.source")
 
 
-@query("p17_resolve_hypotheses")
+@query("p17_resolve_hypotheses", f"""{R}
+  select r.region_id, coalesce(top, 'UNKNOWN') as type, round(coalesce(case when types > 1 then best * 0.85 else best end, 0.5), 6)::double as confidence, coalesce(types > 1, false) as conflict
+  from regions r left join (select region_id, arg_min(h.type, {{a: -h.confidence, b: i}}) as top, max(h.confidence) as best, count(distinct h.type) as types from {SAID} group by 1) using (region_id)""")
 def p17(s, d):
     return hypotheses(s, d).withColumn("r", RG.resolve_hypotheses(F.col("hypotheses"))).select("region_id", "r.type", F.bround("r.confidence", 6).alias("confidence"), "r.conflict")
 

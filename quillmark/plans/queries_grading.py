@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import words
 from quillmark.operators import grading as G
 from quillmark.operators import matching as MT
-from quillmark.plans.entries import ORACLES, joined, query
+from quillmark.plans.entries import joined, query
 from quillmark.plans.fixtures import table as T
 
 E = "criterion_evidence"
@@ -90,15 +88,18 @@ def specs(s, d):
     return G.question_specs(T(s, d, "questions").withColumnRenamed("id", "question_id"))
 
 
-@query("p8_resolve_max_marks", """
-  select assessment_id, id as question_id, case when max_marks > 0 then max_marks when regexp_matches(text, '\\[?\\b\\d{1,2}(\\.\\d)?\\s*(marks?|m|pts?|points?)\\b', 'i') then regexp_extract(text, '\\[?\\b(\\d{1,2}(?:\\.\\d)?)\\s*(?:marks?|m|pts?|points?)\\b', 1, 'i')::decimal(10,2)
-      when section = 'SECTION-A' then 2 when section = 'Part B' then 5 else 2 end::decimal(10,2) as resolved_marks,
-    case when max_marks > 0 then 'vlm_direct' when regexp_matches(text, '\\[?\\b\\d{1,2}(\\.\\d)?\\s*(marks?|m|pts?|points?)\\b', 'i') then 'high' else 'medium' end as marks_confidence from questions""")
+RESOLVED = """
+  case when max_marks > 0 then max_marks when regexp_matches(text, '\\[?\\b\\d{1,2}(\\.\\d)?\\s*(marks?|m|pts?|points?)\\b', 'i') then regexp_extract(text, '\\[?\\b(\\d{1,2}(?:\\.\\d)?)\\s*(?:marks?|m|pts?|points?)\\b', 1, 'i')::decimal(10,2)
+      when section = 'SECTION-A' then 2 when section = 'Part B' then 5 else 2 end::decimal(10,2) as resolved_marks"""
+
+
+@query("p8_resolve_max_marks", f"""
+  select assessment_id, id as question_id, {RESOLVED},
+    case when max_marks > 0 then 'vlm_direct' when regexp_matches(text, '\\[?\\b\\d{{1,2}}(\\.\\d)?\\s*(marks?|m|pts?|points?)\\b', 'i') then 'high' else 'medium' end as marks_confidence from questions""")
 def p8(s, d):
     return specs(s, d).select(*KEYS, "resolved_marks", "marks_confidence")
 
 
-RESOLVED = re.search(r"case when max_marks > 0 then max_marks.*?as resolved_marks", ORACLES["p8_resolve_max_marks"], re.S)[0]
 #: Questions with what the patterns look at: s (stripped), low (lower case), n (words) and the flags.
 FLAGGED = rf"""
   (select assessment_id, question_id, resolved_marks, s, low, case when s = '' then 0 else len(regexp_split_to_array(s, '\s+')) end as n, regexp_matches(low, '{G.DIAGRAM}') as has_diagram,
@@ -106,7 +107,7 @@ FLAGGED = rf"""
     from (select *, lower(s) as low from (select assessment_id, id as question_id, {RESOLVED}, regexp_replace(text, '^\s+|\s+$', '', 'g') as s from questions)))"""
 
 
-@query("p9_expected_answer_type", rf"""
+ANSWER_TYPES = rf"""
   select assessment_id, question_id, has_diagram, has_math, has_code,
     case when regexp_matches(s, '\([A-D]\)') or regexp_matches(s, '^\s*\(?[A-D]\)?\s*[.\-]') then 'mcq' when regexp_matches(low, '{G.FACT}') and n <= 15 then 'one_word'
       when regexp_matches(low, '\b(define|meaning of|what do you understand by)\b') or (regexp_matches(low, '\bwhat is\b') and n <= 15 and not regexp_matches(low, '\b(unit|formula|symbol|name|value)\b')) then 'definition'
@@ -114,7 +115,10 @@ FLAGGED = rf"""
       when has_diagram and regexp_matches(low, 'explain|describe') then 'diagram_explanation' when has_diagram then 'diagram' when regexp_matches(low, '\b(differentiate|compare|difference between|vs|versus)\b') then 'comparison'
       when regexp_matches(low, '\b(steps|process|procedure|working of|how does)\b') then 'process' when resolved_marks >= 7 or n > 25 or regexp_matches(low, 'with example|in detail') then 'long_conceptual'
       when resolved_marks <= 2 or n <= 15 then 'short_conceptual' else 'explanation' end as expected_answer_type
-  from {FLAGGED}""")
+  from {FLAGGED}"""
+
+
+@query("p9_expected_answer_type", ANSWER_TYPES)
 def p9(s, d):
     return specs(s, d).select(*KEYS, "expected_answer_type", "has_diagram", "has_math", "has_code")
 
@@ -122,7 +126,10 @@ def p9(s, d):
 STOP = ", ".join(f"'{w}'" for w in G.STOP_WORDS)
 
 
-@query("p10_required_concepts", f"select assessment_id, id as question_id, array_to_string(list_distinct_ordered, ' | ') as concepts from (select assessment_id, id, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from (select assessment_id, id, list_filter(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{{3,}}')), lambda x: lower(x)), lambda x: x not in ({STOP})) l from questions))")
+CONCEPTS = f"(select assessment_id, id, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from (select assessment_id, id, list_filter(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{{3,}}')), lambda x: lower(x)), lambda x: x not in ({STOP})) l from questions))"
+
+
+@query("p10_required_concepts", f"select assessment_id, id as question_id, array_to_string(list_distinct_ordered, ' | ') as concepts from {CONCEPTS}")
 def p10(s, d):
     return joined(specs(s, d).select(*KEYS, "concepts"), "concepts")
 
@@ -157,7 +164,22 @@ def a3(s, d):
     return G.grade_unanswered(answered(s, d)).drop("max_marks")
 
 
-@query("a2_build_rubric")
+KEYED = "case when said is null then '{0}' else '{0}: ' || said end"
+RUBRIC = f"""
+  (select assessment_id, question_id, resolved_marks, case when expected_answer_type = 'mcq' then [{{d: case when correct_option is null then 'Selects the correct option choice' else 'Selects correct option (' || correct_option || '): ' || coalesce(said, '') end, share: 1.0::double}}]
+      when expected_answer_type = 'one_word' then [{{d: {KEYED.format("Provides accurate factual name or value")}, share: 1.0::double}}]
+      when expected_answer_type = 'definition' then [{{d: case when said is null then 'Defines the core concept of ' || pair || ' correctly' else 'Defines the core concept: ' || said end, share: 0.7::double}}, {{d: 'Uses technical terminology related to ' || pair, share: 0.3::double}}]
+      when has_math then [{{d: 'Correct formula and step-by-step calculation method', share: 0.6::double}}, {{d: {KEYED.format("Correct final numerical value and units")}, share: 0.4::double}}]
+      when has_diagram then [{{d: 'Required diagram structure, components, and labels', share: 0.5::double}}, {{d: 'Accurate text explanation of the diagram', share: 0.5::double}}]
+      when len(c) > 0 then list_transform(c[:4], lambda x: {{d: 'Addresses concept: ' || x, share: 1::double / len(c[:4])}}) else [{{d: 'States core concept', share: 0.5::double}}, {{d: 'Explains supporting mechanism', share: 0.5::double}}] end as plan
+    from (select assessment_id, id as question_id, resolved_marks, correct_option, nullif(trim(correct_answer), '') as said, list_distinct_ordered as c, case when len(list_distinct_ordered) > 0 then array_to_string(list_distinct_ordered[:2], ', ') else 'target concept' end as pair, expected_answer_type, has_math, has_diagram
+      from questions join {CONCEPTS} using (assessment_id, id) join (select assessment_id as assessment_id, question_id as id, resolved_marks from {FLAGGED}) using (assessment_id, id) join (select assessment_id, question_id as id, expected_answer_type, has_math, has_diagram from ({ANSWER_TYPES})) using (assessment_id, id)))"""
+
+
+@query("a2_build_rubric", f"""
+  select assessment_id, question_id, 'c' || (k + 1) as criterion_id, k, description, case when k = n - 1 then part + resolved_marks - sum(part) over (partition by assessment_id, question_id) else part end::decimal(10,2) as max_marks
+  from (select assessment_id, question_id, resolved_marks, k, len(plan) as n, plan[k + 1].d as description, round_even(cast(resolved_marks * plan[k + 1].share as decimal(12,3)), 2)::decimal(10,2) as part
+    from (select *, unnest(range(0, len(plan)))::integer as k from {RUBRIC}))""")
 def a2(s, d):
     return G.build_rubric(specs(s, d))
 
