@@ -93,7 +93,7 @@ def p17(s, d):
     return hypotheses(s, d).withColumn("r", RG.resolve_hypotheses(F.col("hypotheses"))).select("region_id", "r.type", F.bround("r.confidence", 6).alias("confidence"), "r.conflict")
 
 
-@query("p18_fragment_and_parent", f"{R} select region_id, false as fragment, text like '%:' as group_parent from regions where role = 'QUESTION'")
+@query("p18_fragment_and_parent", f"{R} select region_id, (regexp_matches(text, '{RG.MARKER}') and length(trim(text)) <= 8) or regexp_matches(text, '{RG.BARE}') as fragment, text like '%:' as group_parent from regions where role = 'QUESTION'")
 def p18(s, d):
     return regions(s, d).where("role = 'QUESTION'").select("region_id", RG.is_fragment(F.col("text")).alias("fragment"), RG.is_group_parent(F.col("text")).alias("group_parent"))
 
@@ -136,7 +136,7 @@ def f5s(s, d):
     return RG.targets_skipped(regions(s, d).withColumn("classification_conflict", F.col("ord") % 5 == 0))
 
 
-@query("a24_region_conflicts")
+@query("a24_region_conflicts", f"{R} select r.document_id, region_id, array_to_string(list_sort(list(h.source || ':' || h.type)), ' | ') as competing from {SAID} join regions r using (region_id) group by 1, 2 having count(distinct h.type) > 1")
 def a24(s, d):
     return joined(RG.region_conflicts(conflicted(s, d)), "competing")
 
@@ -389,9 +389,14 @@ def h7(s, d):
     return GR.graph_invariants(q, regions(s, d), edges(s, d))
 
 
-@query("h8_graph_anomalies", f"{G} select document_id, 'self_loop' as what, source_id as id from edges where source_id = target_id")
+@query("h8_graph_anomalies", rf"""{G}, parents as (select document_id, source_id as region_id, count(distinct target_id) as n from edges where relationship in ('option_of', 'subquestion_of') group by 1, 2)
+  select document_id, 'self_loop' as what, source_id as id from edges where source_id = target_id union all select document_id, 'duplicate_edge', source_id from edges group by document_id, source_id, target_id, relationship having count(*) > 1
+  union all select document_id, case when n is null then 'no_parent' else 'many_parents' end, region_id from regions left join parents using (document_id, region_id) where role in ('OPTION', 'SUBQUESTION') and (n is null or n > 1)
+  union all select document_id, 'one_word_question', region_id from regions where role = 'QUESTION' and not regexp_matches(trim(text, E' \t\n\r'), '\s')
+  union all select e.document_id, 'suspicious_continuation', source_id from edges e join regions a on a.document_id = e.document_id and a.region_id = source_id
+    where relationship = 'continuation_of' and a.role in ({", ".join(f"'{x}'" for x in GR.BOUNDARY)})""")
 def h8(s, d):
-    return GR.graph_anomalies(regions(s, d), edges(s, d)).where("what <> 'one_word_question'")
+    return GR.graph_anomalies(regions(s, d), edges(s, d))
 
 
 @query("h9_source_fidelity", f"{R} select document_id, region_id as id, 'text_differs' as violation from regions where role = 'QUESTION' and ord % 2 = 1")
