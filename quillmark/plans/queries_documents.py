@@ -98,7 +98,7 @@ def p18(s, d):
     return regions(s, d).where("role = 'QUESTION'").select("region_id", RG.is_fragment(F.col("text")).alias("fragment"), RG.is_group_parent(F.col("text")).alias("group_parent"))
 
 
-@query("p11_display_number", f"{R} select region_id, ord::varchar as number from regions where role = 'QUESTION' and ord <= 999")
+@query("p11_display_number", f"{R} select region_id, case when ord <= 999 then ord::varchar else '1' end as number from regions where role = 'QUESTION'")
 def p11(s, d):
     return regions(s, d).where("role = 'QUESTION'").select("region_id", RG.display_number(F.col("text")).alias("number"))
 
@@ -311,13 +311,13 @@ def verdicts(s, d):
     return GR.question_verdicts(r.withColumn("text", F.when((F.col("role") == "QUESTION") & (F.col("ord") % 21 == 0), F.concat("ord", F.lit(". Answer the following :"))).otherwise(F.col("text"))))
 
 
-@query("j22_attach_subquestions", f"{R} select s.document_id, s.region_id, s.document_id || '_' || (s.ord - 4) as parent_id, (s.ord - 4) || '(b)' as number from regions s where s.ord % 7 = 4 and (s.ord - 4) % 21 <> 0 and s.ord < 1000")
+@query("j22_attach_subquestions", f"{R} select s.document_id, s.region_id, s.document_id || '_' || (s.ord - 4) as parent_id, case when s.ord - 4 <= 999 then (s.ord - 4)::varchar else '1' end || '(b)' as number from regions s where s.ord % 7 = 4 and (s.ord - 4) % 21 <> 0")
 def j22(s, d):
     r = regions(s, d)
     return GR.attach_subquestions(r, edges(s, d), verdicts(s, d)).select("document_id", "region_id", "parent_id", "number")
 
 
-@query("j23_promote_children", f"{R} select document_id, region_id, (ord - 4) || '(b)' as number from regions where ord % 21 = 4 and ord < 1000")
+@query("j23_promote_children", f"{R} select document_id, region_id, case when ord - 4 <= 999 then (ord - 4)::varchar else '1' end || '(b)' as number from regions where ord % 21 = 4")
 def j23(s, d):
     return GR.promote_children(regions(s, d), edges(s, d), verdicts(s, d)).select("document_id", "region_id", "number")
 
