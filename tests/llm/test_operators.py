@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +371,25 @@ def test_line_dedup_without_spaces(spark):
     assert sorted(int(x.row) // line_dedup.LINES for x in got) == want == [1, 3, 5]
 
 
+def test_sketches_keep_similar_lines(spark):
+    """Lines of 140 shingles with a similarity of 0.75 just about: none may be ruled out by its sketch, nearly all unlike ones are."""
+    r = random.Random(9)
+    pairs = []
+    while len(pairs) < 1000:
+        a = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(144)]
+        b = list(a)
+        for at in (20, 55, 90, 120):
+            b[at + r.randrange(15)] = "-"
+        if left_over(["".join(a), "".join(b)]) == 1:
+            pairs.append(("".join(a), "".join(b)))
+    side = lambda lines: [(len({t[i : i + 5] for i in range(140)}), *map(int, s)) for t, s in zip(lines, line_dedup.sketches(pa.array(lines)), strict=True)]
+    one, two = side([a for a, _ in pairs]), side([b for _, b in pairs])
+    line = "struct<size: long, " + ", ".join(f"{x}: long" for x in line_dedup.SKETCHES) + ">"
+    kept = lambda x, y: spark.createDataFrame(list(zip(x, y, strict=True)), f"x {line}, y {line}").where(line_dedup.alike("x", "y", 75)).count()
+    assert kept(one, two) >= 999
+    assert kept(one, two[1:] + two[:1]) <= 20
+
+
 def test_topk_large_values(spark):
     """Products beyond a long are its ends; they tie."""
     rows = [(0, [1e10, 0.0]), (1, [1e10, 1.0]), (2, [-1e10, 0.0]), (3, [1.0, 1.0]), (4, [1e308, 0.0])]
