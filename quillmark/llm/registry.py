@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, importance, language_id, line_dedup, ngram_join, packing, secret_scan, substring_dedup, topk_search, url_filter
+from . import chat_format, decontaminate, importance, language_id, line_dedup, ngram_join, packing, secret_scan, substring_dedup, topk_search, url_filter, vector_codes
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_topk_search": topk_search.op10_topk_search,
     "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op10_topk_search": topk_search.ORACLE,
     "op12_importance_resampling": importance.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
