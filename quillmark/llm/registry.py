@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, importance, language_id, line_dedup, ngram_join, packing, secret_scan, substring_dedup, topk_search, url_filter, vector_codes
+from . import chat_format, decontaminate, importance, language_id, line_dedup, ngram_join, packing, pii, secret_scan, substring_dedup, topk_search, url_filter, vector_codes
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_topk_search": topk_search.op10_topk_search,
+    "op11_pii": pii.op11_pii,
     "op12_importance_resampling": importance.op12_importance_resampling,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
