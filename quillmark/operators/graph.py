@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import has, ordered, strip
-from quillmark.operators.regions import display_number, is_fragment, is_group_parent
+from quillmark.operators.regions import box_scores, display_number, is_fragment, is_group_parent
 
 ROLES = ("QUESTION", "SUBQUESTION", "OPTION", "SECTION_HEADER", "INSTRUCTION", "HEADER", "FOOTER", "METADATA", "DIAGRAM", "TABLE", "ANSWER_REGION", "HANDWRITING", "UNKNOWN")
 SYNONYMS = {"ADMINISTRATIVE": "INSTRUCTION", "CONTINUATION": "UNKNOWN"}
@@ -71,21 +71,54 @@ def demote_unclaimed(nodes: DataFrame, pages: DataFrame, claims: DataFrame) -> D
     return rows.withColumns({"confidence": F.least("confidence", cap), "state": F.when(gone, "UNVERIFIED").when(unsure | failed, "UNCERTAIN").otherwise(F.col("state")), "role": F.when(gone, "UNKNOWN").otherwise(F.col("role"))}).select(nodes.columns)
 
 
+NO_IDS = "array<string>"
+CLAIMS = "array<struct<ord: int, region_id: string, claim: string, head_id: string>>"
+
+
 def claim_regions(structures: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Which structure of a page claims a region, and as what. structures: document_id, page, ord, region_ids, height.
+    """Which structure of a page claims a region, and as what: document_id, page, ord, region_id, claim, head_id.
 
-    The first structure that names a region as its head has it; as a continuation, the first one near enough. In the
-    reference a claim depends on all that came before; by rank, a continuation may go to a structure whose own head
-    was lost to an earlier one. Such structures have no head here and claim nothing.
+    structures: document_id, page, ord, region_ids, x, y, width, height (no height: no box). They claim in order, one page a
+    fold whose accumulator holds the regions that are taken. A structure whose first id is free has it as head, and those of
+    its other ids as continuations that are free, no structure's head and near enough. One whose head is taken, or that names
+    none, claims by its box what fits of the free regions; where nothing does, it stands for itself (claim visual). A region
+    that doesn't exist can be named but not taken. Without ids and box a structure claims nothing.
+
+    How well regions fit a box doesn't depend on claims, so it is joined beforehand (``box_scores``); only the choice is
+    made in the fold. What is collected for a task is one page.
     """
-    named = structures.select("document_id", "page", "ord", "height", F.posexplode("region_ids").alias("place", "region_id"))
-    first = Window.partitionBy("document_id", "page", "region_id").orderBy("ord", "place")
-    heads = named.where("place = 0").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "place")
-    own = heads.join(nodes.select(*KEY, F.col("y").alias("head_y")), list(KEY), "left").select("document_id", "page", "ord", F.col("region_id").alias("head_id"), "head_y")
-    rest = named.where("place > 0").join(own, ["document_id", "page", "ord"]).join(heads.select(*KEY), list(KEY), "left_anti").join(nodes.select(*KEY, "y"), list(KEY), "left")
-    near = F.abs(F.col("y") - F.col("head_y")) <= F.when(F.col("height").isNull(), 200.0).otherwise(F.greatest("height", F.lit(150.0)))
-    rest = rest.where(F.coalesce(near, F.lit(True))).withColumn("r", F.row_number().over(first)).where("r = 1")
-    return heads.select("document_id", "page", "ord", "region_id", F.lit("head").alias("claim"), F.col("region_id").alias("head_id")).union(rest.select("document_id", "page", "ord", "region_id", F.lit("continuation"), "head_id"))
+    page = ["document_id", "page"]
+    known = nodes.select(*KEY, F.col("y").alias("at"))
+    named = structures.select(*page, "ord", F.posexplode("region_ids").alias("place", "region_id")).join(known, list(KEY), "left")
+    ids = named.groupBy(*page, "ord").agg(F.array_sort(F.collect_list(F.struct("place", "region_id", "at"))).alias("ids"))
+    boxes = structures.where("height is not null").select(*page, F.col("ord").alias("box_id"), "x", "y", "width", "height")
+    fits = box_scores(boxes, nodes).groupBy(*page, F.col("box_id").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "region_id", "score"))).alias("fits"))
+    each = structures.select(*page, F.col("ord").cast("int").alias("ord"), "height", "y").join(ids, [*page, "ord"], "left").join(fits, [*page, "ord"], "left")
+    pages = each.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("ord", "height", "y", "ids", "fits"))).alias("all"))
+    heads = F.transform(F.filter("all", lambda s: F.coalesce(F.size(s["ids"]), F.lit(0)) > 0), lambda s: s["ids"][0]["region_id"])
+
+    def claim(acc: Column, s: Column) -> Column:
+        free = lambda c: ~F.array_contains(acc["taken"], c["region_id"])
+        first = F.get(s["ids"], F.lit(0))
+        by_id = F.coalesce((F.size(s["ids"]) > 0) & free(first), F.lit(False))
+        head_y = F.coalesce(first["at"], s["y"], F.lit(0.0))
+        reach = F.when(s["height"].isNull(), 200.0).otherwise(F.greatest(s["height"], F.lit(150.0)))
+        near = lambda c: F.coalesce(F.abs(c["at"] - head_y) <= reach, F.lit(True))
+        more = F.filter(F.slice(s["ids"], 2, 1 << 20), lambda c: free(c) & ~F.array_contains("heads", c["region_id"]) & near(c))
+        open_ = F.filter(F.coalesce(s["fits"], F.array().cast("array<struct<y: double, x: double, region_id: string, score: double>>")), free)
+        top = F.array_max(F.transform(open_, lambda c: c["score"]))
+        kept = F.filter(open_, lambda c: c["score"] >= F.greatest(F.lit(0.2), top * 0.5))
+        got = F.when(by_id, F.concat(F.array(first["region_id"]), F.transform(more, lambda c: c["region_id"]))).otherwise(F.transform(kept, lambda c: c["region_id"]))
+        exist = F.when(by_id, F.transform(F.filter(s["ids"], lambda c: c["at"].isNotNull()), lambda c: c["region_id"])).otherwise(got)
+        visual = ~by_id & s["height"].isNotNull() & (F.size(got) == 0)
+        itself = F.concat(F.lit("visual_"), F.col("page"), F.lit("_"), s["ord"])
+        rows = F.transform(got, lambda c, i: F.struct(s["ord"].alias("ord"), c.alias("region_id"), F.when(i == 0, "head").otherwise("continuation").alias("claim"), got[0].alias("head_id")))
+        rows = F.when(visual, F.array(F.struct(s["ord"].alias("ord"), itself.alias("region_id"), F.lit("visual").alias("claim"), itself.alias("head_id")))).otherwise(rows)
+        return F.struct(F.concat(acc["taken"], F.array_intersect(got, exist)).alias("taken"), F.concat(acc["rows"], rows.cast(CLAIMS)).alias("rows"))
+
+    begin = F.struct(F.array().cast(NO_IDS).alias("taken"), F.array().cast(CLAIMS).alias("rows"))
+    done = pages.withColumn("heads", heads).select(*page, F.explode(F.aggregate("all", begin, claim)["rows"]).alias("c"))
+    return done.select(*page, "c.ord", "c.region_id", "c.claim", "c.head_id")
 
 
 def apply_model_roles(nodes: DataFrame, claims: DataFrame, structures: DataFrame) -> DataFrame:
@@ -120,38 +153,94 @@ def verification_summary(fused: DataFrame) -> DataFrame:
     return fused.groupBy("document_id").agg(F.count("*").alias("total_regions"), *(F.count_if(F.col("verification_state") == s).alias(f"{s.lower()}_count") for s in ("VERIFIED", "CONFLICTED", "UNCERTAIN", "UNVERIFIED")))
 
 
+STITCHED = "ord int, role string, region_ids array<string>, display_number string, display_label string, x double, y double, width double, height double, confidence double"
+#: Roles whose structures don't take the ids of options and parts when they grow.
+PARENTS = ("QUESTION", "SECTION_HEADER", "INSTRUCTION")
+
+
 def stitch_split_pages(top: DataFrame, bottom: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(structures of whole pages, the map of bottom region ids to the head they joined).
+    """(structures of whole pages with half top or bottom, the map of bottom region ids to the head they joined).
+
+    top, bottom: document_id, page, ord, role, region_ids, display_number, x, y, width, height, confidence, mid_y and, if
+    there is one, display_label; bottom boxes are relative to mid_y. In order, each top structure takes the bottom ones that
+    no earlier one has taken, of its role, with numbers and labels that agree, at the seam, and that share an id with it or
+    lie near it. It grows with each: later ones are compared with its hull, its ids, its number and its label. A top
+    structure of a role in PARENTS doesn't take ids that an option or a part of the bottom has. An id that several merged
+    structures have goes to the one merged last; one that an unmerged structure has stays.
 
-    top, bottom: document_id, page, ord, role, region_ids, display_number, x, y, width, height, confidence, mid_y; bottom
-    boxes are relative to mid_y. A bottom structure joins the first top one of its role at the seam that its numbers allow.
+    Two nested folds over the halves of one page, which is what is collected for a task.
+    """
+    page = ["document_id", "page"]
+    full = lambda d: d if "display_label" in d.columns else d.withColumn("display_label", F.lit(None).cast("string"))
+    shape = [c.split()[0] for c in STITCHED.split(", ")]
+    array = f"array<struct<{STITCHED.replace(' ', ': ').replace(',:', ',')}>>"
+    packed = lambda d, name: d.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), *shape[1:]))).cast(array).alias(name), F.max("mid_y").alias(f"mid_{name}"))
+    pages = packed(full(top), "tops").join(packed(full(bottom).withColumn("y", F.col("y") + F.col("mid_y")), "bottoms"), page, "full")
+    none = F.array().cast(array)
+    pages = pages.select(*page, F.coalesce("tops", none).alias("tops"), F.coalesce("bottoms", none).alias("bottoms"), F.coalesce("mid_tops", "mid_bottoms").alias("mid_y"))
+    ids_of = lambda some: F.flatten(F.transform(some, lambda s: s["region_ids"]))
+    pages = pages.withColumn("child_ids", ids_of(F.filter("bottoms", lambda s: s["role"].isin("OPTION", "SUBQUESTION"))))
+    end = lambda s, at, size: s[at] + s[size]
+    reach = lambda s: F.greatest(s["height"] * 2.5, F.lit(80.0))
+    agree = lambda t, b, c: F.coalesce((F.nullif(t[c], F.lit("")) == F.nullif(b[c], F.lit(""))), F.lit(True))
+
+    def fits(t: Column, b: Column) -> Column:
+        mid = F.col("mid_y")
+        seam = (t["y"] < mid) & (end(t, "y", "height") >= mid - reach(t)) & (b["y"] <= mid + reach(b)) & (end(b, "y", "height") > mid)
+        gap = F.greatest(F.lit(0.0), b["y"] - end(t, "y", "height")) <= F.greatest(t["height"] * 2, b["height"] * 2, F.lit(75.0))
+        beside = F.greatest(F.lit(0.0), F.greatest(t["x"], b["x"]) - F.least(end(t, "x", "width"), end(b, "x", "width"))) <= 600
+        shared = F.arrays_overlap(t["region_ids"], b["region_ids"])
+        return F.coalesce((t["role"] == b["role"]) & (t["role"] != "UNKNOWN") & agree(t, b, "display_number") & agree(t, b, "display_label") & seam & (shared | (gap & beside)), F.lit(False))
+
+    def grown(t: Column, b: Column) -> Column:
+        x, y = F.least(t["x"], b["x"]), F.least(t["y"], b["y"])
+        more = F.when(t["role"].isin(*PARENTS), F.array_except(b["region_ids"], "child_ids")).otherwise(b["region_ids"])
+        first = lambda c: F.coalesce(F.nullif(t[c], F.lit("")), b[c])
+        parts = {"ord": t["ord"], "role": t["role"], "region_ids": F.concat(t["region_ids"], F.array_except(more, t["region_ids"])), "display_number": first("display_number"), "display_label": first("display_label"), "x": x, "y": y}
+        parts |= {"width": F.greatest(end(t, "x", "width"), end(b, "x", "width")) - x, "height": F.greatest(end(t, "y", "height"), end(b, "y", "height")) - y, "confidence": F.greatest(t["confidence"], b["confidence"])}
+        return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+    merge = "struct<ord: int, into: string>"
+
+    def stitch(acc: Column, t: Column) -> Column:
+        def take(inner: Column, b: Column) -> Column:
+            ok = ~F.exists(inner["merged"], lambda m: m["ord"] == b["ord"]) & fits(inner["top"], b)
+            one = F.struct(b["ord"].alias("ord"), F.get(t["region_ids"], F.lit(0)).alias("into")).cast(merge)
+            return F.struct(F.when(ok, grown(inner["top"], b)).otherwise(inner["top"]).cast(array[6:-1]).alias("top"), F.when(ok, F.concat(inner["merged"], F.array(one))).otherwise(inner["merged"]).alias("merged"))
+
+        inner = F.aggregate("bottoms", F.struct(t.cast(array[6:-1]).alias("top"), acc["merged"].alias("merged")), take)
+        return F.aggregate(F.array(inner), F.struct(acc["tops"].alias("tops"), acc["merged"].alias("merged")), lambda a, i: F.struct(F.concat(a["tops"], F.array(i["top"])).alias("tops"), i["merged"].alias("merged")))
+
+    begin = F.struct(none.alias("tops"), F.array().cast(f"array<{merge}>").alias("merged"))
+    done = pages.withColumn("done", F.aggregate("tops", begin, stitch))
+    alone = F.filter("bottoms", lambda b: ~F.exists("done.merged", lambda m: m["ord"] == b["ord"]))
+    done = done.withColumn("alone", alone)
+    half = lambda some, name, shift: done.select(*page, F.explode(some).alias("s"), F.lit(name).alias("half")).select(*page, (F.col("s.ord") + shift).alias("ord"), *(f"s.{c}" for c in shape[1:]), "half")
+    whole = half("done.tops", "top", 0).union(half("alone", "bottom", 10_000))
+    moved = done.select(*page, ids_of(F.col("alone")).alias("kept"), "bottoms", F.posexplode("done.merged").alias("turn", "m"))
+    ids = F.get(F.filter("bottoms", lambda b: b["ord"] == F.col("m.ord")), F.lit(0))["region_ids"]
+    moved = moved.select(*page, "turn", F.col("m.into").alias("new_id"), F.explode(F.array_except(ids, "kept")).alias("old_id")).where("new_id is not null")
+    remap = moved.groupBy(*page, "old_id").agg(F.max_by("new_id", "turn").alias("new_id")).where("old_id <> new_id")
+    return whole, remap.select("document_id", "page", "old_id", "new_id")
+
+
+def orphan_edges(whole: DataFrame) -> DataFrame:
+    """Edges of bottom options and parts above the first bottom question to the lowest top question of their page.
+
+    whole: as of ``stitch_split_pages``. Of top questions equally low the first counts; one without ids takes none.
     """
-    columns = ["ord", "region_ids", "display_number", "x", "y", "width", "height", "confidence"]
-    b = bottom.withColumn("y", F.col("y") + F.col("mid_y"))
-    rename = lambda d, p: d.select("document_id", "page", "role", "mid_y", *(F.col(c).alias(f"{p}_{c}") for c in columns))
-    pairs = rename(top, "t").join(rename(b.drop("mid_y").withColumn("mid_y", F.lit(None)), "b").drop("mid_y"), ["document_id", "page", "role"]).where("role <> 'UNKNOWN'")
-    reach = lambda c: F.greatest(F.col(c) * 2.5, F.lit(80.0))
-    seam = (F.col("t_y") < F.col("mid_y")) & (F.col("t_y") + F.col("t_height") >= F.col("mid_y") - reach("t_height")) & (F.col("b_y") <= F.col("mid_y") + reach("b_height")) & (F.col("b_y") + F.col("b_height") > F.col("mid_y"))
-    gap = F.greatest(F.lit(0.0), F.col("b_y") - F.col("t_y") - F.col("t_height")) <= F.greatest(F.col("t_height") * 2, F.col("b_height") * 2, F.lit(75.0))
-    apart = F.greatest(F.lit(0.0), F.greatest("t_x", "b_x") - F.least(F.col("t_x") + F.col("t_width"), F.col("b_x") + F.col("b_width"))) <= 600
-    fits = F.coalesce(F.col("t_display_number") == F.col("b_display_number"), F.lit(True))
-    found = pairs.where(seam & fits & (F.arrays_overlap("t_region_ids", "b_region_ids") | (gap & apart)))
-    w = Window.partitionBy("document_id", "page", "b_ord").orderBy("t_ord")
-    joined = found.withColumn("r", F.row_number().over(w)).where("r = 1")
-    grown = joined.groupBy("document_id", "page", F.col("t_ord").alias("ord")).agg(F.min("b_x").alias("x0"), F.min("b_y").alias("y0"), F.max(F.col("b_x") + F.col("b_width")).alias("x1"), F.max(F.col("b_y") + F.col("b_height")).alias("y1"), F.max("b_confidence").alias("c"), F.flatten(ordered("b_region_ids", "b_ord")).alias("more"), F.min_by("b_display_number", "b_ord").alias("number"))
-    t = top.join(grown, ["document_id", "page", "ord"], "left")
-    x0, y0 = F.least("x", "x0"), F.least("y", "y0")
-    whole = t.select("document_id", "page", "ord", "role", F.array_distinct(F.concat("region_ids", F.coalesce("more", F.array().cast("array<string>")))).alias("region_ids"), F.coalesce("display_number", "number").alias("display_number"), x0.alias("x"), y0.alias("y"), (F.greatest(F.col("x") + F.col("width"), F.col("x1")) - x0).alias("width"), (F.greatest(F.col("y") + F.col("height"), F.col("y1")) - y0).alias("height"), F.greatest("confidence", "c").alias("confidence"))
-    alone = b.join(joined.select("document_id", "page", F.col("b_ord").alias("ord")), ["document_id", "page", "ord"], "left_anti")
-    out = whole.unionByName(alone.select(whole.columns).withColumn("ord", F.col("ord") + 10_000))
-    kept = alone.select("document_id", "page", F.explode("region_ids").alias("old_id"))
-    remap = joined.select("document_id", "page", F.explode("b_region_ids").alias("old_id"), F.col("t_region_ids")[0].alias("new_id")).join(kept, ["document_id", "page", "old_id"], "left_anti").where("old_id <> new_id").distinct()
-    return out, remap
+    page = ["document_id", "page"]
+    asks = (F.col("role") == "QUESTION") & F.col("y").isNotNull()
+    ends = whole.where(asks).groupBy(*page).agg(F.max_by(F.struct(F.get("region_ids", F.lit(0)).alias("id")), F.when(F.col("half") == "top", F.struct("y", -F.col("ord")))).alias("last"), F.min(F.when(F.col("half") == "bottom", F.col("y"))).alias("below"))
+    parts = whole.where("half = 'bottom' and role in ('OPTION', 'SUBQUESTION') and size(region_ids) > 0").join(ends, page)
+    free = parts.where((F.col("last.id").isNotNull()) & F.coalesce(F.col("y") < F.col("below"), F.lit(True)))
+    return free.select("document_id", F.col("region_ids")[0].alias("source_id"), F.col("last.id").alias("target_id"), F.concat(F.lower("role"), F.lit("_of")).alias("relationship"), "confidence")
 
 
 def remap_edges(edges: DataFrame, remap: DataFrame) -> DataFrame:
-    """Edges by the ids that structures have after stitching; without self-links and repeats."""
-    to = lambda end: remap.select("document_id", F.col("old_id").alias(f"{end}_id"), F.col("new_id").alias(f"{end}_new")).dropDuplicates(["document_id", f"{end}_id"])
+    """Edges by the ids that structures have after stitching (of several pages the first); without self-links and repeats."""
+    one = remap.groupBy("document_id", "old_id").agg(F.min_by("new_id", "page").alias("new_id"))
+    to = lambda end: one.select("document_id", F.col("old_id").alias(f"{end}_id"), F.col("new_id").alias(f"{end}_new"))
     rows = edges.join(to("source"), ["document_id", "source_id"], "left").join(to("target"), ["document_id", "target_id"], "left")
     rows = rows.select("document_id", F.coalesce("source_new", "source_id").alias("source_id"), F.coalesce("target_new", "target_id").alias("target_id"), "relationship", "confidence")
     return dedupe_edges(rows.where("source_id <> target_id"))

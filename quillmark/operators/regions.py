@@ -172,10 +172,11 @@ def bands(y0: Column, y1: Column) -> Column:
     return F.sequence(F.floor(y0 / BAND).cast("int"), F.floor(F.greatest(y0, y1) / BAND).cast("int"))
 
 
-def ground_boxes(boxes: DataFrame, regions: DataFrame) -> DataFrame:
-    """Text regions of each visual box of a page, with a status. boxes: document_id, page, box_id, x, y, width, height.
+def box_scores(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """How well each text region fits each visual box of its page: document_id, page, box_id, region_id, text, y, x, score.
 
-    Boxes and regions meet in y-bands (an equi-join; a crowded page is spread over its bands), each pair once.
+    boxes: document_id, page, box_id, x, y, width, height. Boxes and regions meet in y-bands (an equi-join; a crowded page
+    is spread over its bands), each pair once; pairs that fit too badly are left out.
     """
     b = boxes.select("document_id", "page", "box_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("width").alias("bw"), F.col("height").alias("bh"))
     b = b.withColumn("band", F.explode(bands(F.col("by") - 15, F.col("by") + F.col("bh") + 15)))
@@ -189,8 +190,13 @@ def ground_boxes(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     held = (F.col("x") >= F.col("bx") - 5) & (F.col("y") >= F.col("by") - 5) & (F.col("x") + F.col("width") <= F.col("bx") + F.col("bw") + 5) & (F.col("y") + F.col("height") <= F.col("by") + F.col("bh") + 5)
     cap = lambda most, v: F.least(F.lit(most), v)
     score = F.when(held, 0.70).when(inside, 0.50).otherwise(0.0) + cap(0.50, ox * oy / area("bw", "bh") * 2.25) + cap(0.40, ox * oy / area("width", "height") * 1.4) + cap(0.35, oy / F.greatest(F.lit(1.0), F.greatest("bh", "height")) * 1.25) + cap(0.25, ox / F.greatest(F.lit(1.0), F.greatest("bw", "width")))
+    return near.where((ox * oy > 0) | inside).select("document_id", "page", "box_id", "region_id", "text", "y", "x", score.alias("score")).where("score >= 0.15")
+
+
+def ground_boxes(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """Text regions of each visual box of a page (as of ``box_scores``), with a status and their text."""
     w = Window.partitionBy("document_id", "page", "box_id")
-    scored = near.where((ox * oy > 0) | inside).withColumn("score", score).where("score >= 0.15").withColumn("top", F.max("score").over(w)).where(F.col("score") >= F.greatest(F.lit(0.2), F.col("top") * 0.5))
+    scored = box_scores(boxes, regions).withColumn("top", F.max("score").over(w)).where(F.col("score") >= F.greatest(F.lit(0.2), F.col("top") * 0.5))
     kept = scored.groupBy("document_id", "page", "box_id").agg(F.max("top").alias("top"), F.array_sort(F.collect_list(F.struct("y", "x", "region_id", strip(F.col("text")).alias("text")))).alias("kept"))
     out = boxes.select("document_id", "page", "box_id").join(kept, ["document_id", "page", "box_id"], "left")
     n = F.coalesce(F.size("kept"), F.lit(0))

@@ -114,3 +114,32 @@ REGIONS_DUCKDB = f"with regions as ({REGION}({LINES_DUCKDB}))"
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"{REGION}({LINES_SPARK})", documents=table(spark, sf_dir, "documents"))
+
+
+# structures of a model that contend for regions: lost heads, continuations that others have or that are far, boxes only
+CONTESTED = """
+  select document_id, page, ord, case ord % 7 when 0 then 'QUESTION' when 5 then 'UNKNOWN' else 'OPTION' end as role, cast(0.4 + (ord % 5) / 10.0 as double) as confidence,
+    case ord % 7
+      when 0 then LIST(region_id, concat(document_id, '_', ord + 5), concat(document_id, '_', ord + 1), concat(document_id, '_', ord + 12), concat(document_id, '_', ord + 4))
+      when 1 then LIST(concat(document_id, '_', ord - ord % 2), concat(document_id, '_', ord + 3))
+      when 3 then LIST(concat(document_id, '_', ord + 3), concat(document_id, '_', ord + 2))
+      when 5 then LIST(concat(document_id, '_', ord - 4), concat(document_id, '_', ord - 1)) end as region_ids,
+    x - 3 as x, y - 3 as y, case when ord % 2 = 0 then cast(1100 as double) else width + 6 end as width, case when ord % 7 <> 3 then cast(86 as double) end as height
+  from {regions} where ord % 7 in (0, 1, 2, 3, 5)"""
+# the structures of both halves of a page, many at the seam, tall enough to reach further once they have grown
+HALVES = """
+  select document_id, page, ord, case when ord % 3 = 0 then 'QUESTION' else 'OPTION' end as role,
+    case when ord % 4 = 1 then LIST(region_id, concat(document_id, '_', ord + 3)) when ord % 9 = 5 then LIST(concat(document_id, '_', ord - 4), region_id) else LIST(region_id) end as region_ids,
+    case when ord % 5 = 0 then cast(ord % 2 as string) end as display_number, x, y, width, cast(30 + 30 * (ord % 4) as double) as height, confidence, cast(500 as double) as mid_y
+  from {regions}"""
+CONTESTED_DUCKDB, HALVES_DUCKDB = (sql.replace("LIST(", "list_value(").translate(NO_BRACES) for sql in (CONTESTED, HALVES))
+
+
+def contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CONTESTED.replace("LIST(", "array("), regions=regions(spark, sf_dir))
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(top, bottom); the boxes of the bottom ones are relative to the middle."""
+    both = spark.sql(HALVES.replace("LIST(", "array("), regions=regions(spark, sf_dir))
+    return both.where("y < mid_y"), both.where("y >= mid_y").selectExpr("* except (y)", "y - mid_y as y")

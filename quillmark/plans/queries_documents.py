@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quillmark.operators import graph as GR
 from quillmark.operators import regions as RG
 from quillmark.plans.entries import joined, query
+from quillmark.plans.fixtures import CONTESTED_DUCKDB, HALVES_DUCKDB, contested, halves, regions, table
 from quillmark.plans.fixtures import REGIONS_DUCKDB as R
-from quillmark.plans.fixtures import regions, table
 
 ROW = "page, y, x, region_id"
 
@@ -27,6 +27,16 @@ def edges(s, d):
 EDGES = f"""edges as (select document_id, region_id as source_id, document_id || '_' || (ord - ord % 7) as target_id, case when ord % 7 <= 3 then 'option_of' when ord % 7 = 4 then 'subquestion_of' else 'continuation_of' end as relationship, 0.9::double as confidence from regions where ord % 7 between 1 and 5
   union all select document_id, region_id, region_id, 'follows', 0.5::double from regions where ord % 11 = 3 union all select document_id, region_id, 'nowhere', 'belongs_to', 0.7::double from regions where ord % 13 = 5)"""
 G = f"{R}, {EDGES}"
+RECURSIVE = R.replace("with ", "with recursive ", 1)
+
+# how regions fit boxes of a table named boxes: the parts that add up to a score
+FITS = """fits as (select * exclude (ox, oy, area, region_area, tallest, widest, inside, held), case when held then 0.70 when inside then 0.50 else 0 end
+    + least(0.50, ox * oy / area * 2.25) + least(0.40, ox * oy / region_area * 1.4) + least(0.35, oy / tallest * 1.25) + least(0.25, ox / widest) as score
+  from (select b.document_id, b.page, b.box_id, r.region_id, r.text, r.x, r.y, greatest(0, least(b.x + b.width, r.x + r.width) - greatest(b.x, r.x)) ox, greatest(0, least(b.y + b.height, r.y + r.height) - greatest(b.y, r.y)) oy,
+      greatest(1, b.width * b.height) area, greatest(1, r.width * r.height) region_area, greatest(1, b.height, r.height) tallest, greatest(1, b.width, r.width) widest,
+      r.x + r.width / 2 between b.x - 15 and b.x + b.width + 15 and r.y + r.height / 2 between b.y - 15 and b.y + b.height + 15 inside,
+      r.x >= b.x - 5 and r.y >= b.y - 5 and r.x + r.width <= b.x + b.width + 5 and r.y + r.height <= b.y + b.height + 5 held
+    from boxes b join regions r on b.document_id = r.document_id and b.page = r.page) where (ox * oy > 0 or inside) and score >= 0.15)"""
 
 
 @query("p12_normalize_whitespace", "select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as digest from documents")
@@ -182,7 +192,10 @@ def boxes(s, d):
     return regions(s, d).where("role = 'QUESTION'").select("document_id", "page", F.col("region_id").alias("box_id"), (F.col("x") - 3).alias("x"), (F.col("y") - 3).alias("y"), (F.col("width") + 6).alias("width"), F.lit(86.0).alias("height"))
 
 
-@query("j6_ground_boxes")
+@query("j6_ground_boxes", f"""{R}, boxes as (select document_id, page, region_id as box_id, x - 3 as x, y - 3 as y, width + 6 as width, 86 as height from regions where role = 'QUESTION'), {FITS},
+  kept as (select document_id, box_id, string_agg(region_id, ' | ' order by y, x, region_id) as ids, count(*) n, max(top) top from (select *, max(score) over (partition by document_id, page, box_id) top from fits) where score >= greatest(0.2, top * 0.5) group by 1, 2)
+  select document_id, box_id, coalesce(ids, '') as region_ids, case when n is null then 'UNGROUNDED' when (n = 1 and top < 0.30) or (n > 1 and top < 0.40) then 'PARTIALLY_GROUNDED' else 'GROUNDED' end as status
+  from boxes left join kept using (document_id, box_id)""")
 def j6(s, d):
     return joined(RG.ground_boxes(boxes(s, d), regions(s, d)).select("document_id", "box_id", "region_ids", "status"), "region_ids")
 
@@ -242,15 +255,37 @@ def structures(s, d):
     return r.select("document_id", "page", "ord", ids.alias("region_ids"), "role", F.when(F.col("ord") % 7 == 0, F.col("ord").cast("string")).alias("display_number"), "x", "y", "width", "height", "confidence")
 
 
-@query("j7_claim_regions", f"{R} select document_id, ord, region_id, 'head' as claim from regions where ord % 7 in (0, 1, 2, 3) union all select q.document_id, q.ord, q.document_id || '_' || (q.ord + 5), 'continuation' from regions q left join regions c on q.document_id = c.document_id and c.ord = q.ord + 5 where q.ord % 7 = 0 and (c.y is null or abs(c.y - q.y) <= 150)")
+# structure by structure: what is taken so far, and what the next one gets of it
+CLAIMS = f"""{RECURSIVE}, boxes as (select document_id, page, ord as box_id, x, y, width, height from ({CONTESTED_DUCKDB}) where height is not null), {FITS},
+  named as (select n.*, r.y as y0 from (select document_id, page, ord, unnest(region_ids) id, unnest(range(len(region_ids))) place from ({CONTESTED_DUCKDB})) n left join regions r on r.document_id = n.document_id and r.region_id = n.id),
+  ids as (select document_id, page, ord, list({{'id': id, 'y': y0}} order by place) ids from named group by all),
+  heads as (select document_id, page, list(id) heads from named where place = 0 group by all),
+  fit as (select document_id, page, box_id as ord, list({{'id': region_id, 'score': score}} order by y, x, region_id) fit from fits group by all),
+  s as (select *, row_number() over (partition by document_id, page order by ord) n from ({CONTESTED_DUCKDB}) left join ids using (document_id, page, ord) left join fit using (document_id, page, ord) left join heads using (document_id, page)),
+  f as (
+    select distinct document_id, page, 0::bigint n, []::varchar[] taken, null::integer ord, []::varchar[] got, false visual from s
+    union all
+    select document_id, page, n, list_concat(taken, list_filter(got, lambda c: not by_id or list_contains(list_transform(list_filter(ids, lambda i: i.y is not null), lambda i: i.id), c))), ord, got, not by_id and height is not null and len(got) = 0
+    from (select *, case when by_id then list_concat([ids[1].id], list_transform(list_filter(ids[2:], lambda c: not list_contains(taken, c.id) and not list_contains(heads, c.id) and coalesce(abs(c.y - coalesce(ids[1].y, y, 0)) <= case when height is null then 200 else greatest(height, 150) end, true)), lambda c: c.id))
+            else list_transform(list_filter(free, lambda c: c.score >= greatest(0.2, 0.5 * list_max(list_transform(free, lambda u: u.score)))), lambda c: c.id) end got
+      from (select s.*, f.taken, coalesce(not list_contains(f.taken, s.ids[1].id), false) by_id, list_filter(coalesce(s.fit, []), lambda c: not list_contains(f.taken, c.id)) free
+        from f join s on s.document_id = f.document_id and s.page = f.page and s.n = f.n + 1))),
+  claims as (select document_id, page, ord, unnest(got) as region_id, case when unnest(range(len(got))) = 0 then 'head' else 'continuation' end as claim, got[1] as head_id from f
+    union all select document_id, page, ord, 'visual_' || page || '_' || ord, 'visual', 'visual_' || page || '_' || ord from f where visual)"""
+
+
+@query("j7_claim_regions", f"{CLAIMS} select document_id, page, ord, region_id, claim, head_id from claims")
 def j7(s, d):
-    return GR.claim_regions(structures(s, d), regions(s, d)).select("document_id", "ord", "region_id", "claim")
+    return GR.claim_regions(contested(s, d), regions(s, d)).select("document_id", "page", "ord", "region_id", "claim", "head_id")
 
 
-@query("j8_apply_model_roles")
+@query("j8_apply_model_roles", f"""{CLAIMS} select region_id, case when sure then c.role when claim = 'continuation' then 'UNKNOWN' else r.role end as role, round(case when sure then c.confidence else r.confidence end, 6) as confidence,
+  case when sure or claim = 'continuation' then 'VERIFIED' when claim = 'head' then 'UNCERTAIN' else state end as state, case when claim = 'continuation' then head_id else parent_region_id end as parent_region_id
+  from (select r.*, c.claim, c.head_id, struct_pack(role := t.role, confidence := t.confidence) c, coalesce(claim = 'head' and t.confidence >= 0.60 and t.role <> 'UNKNOWN', false) sure
+    from regions r left join claims c on c.document_id = r.document_id and c.region_id = r.region_id left join ({CONTESTED_DUCKDB}) t on t.document_id = c.document_id and t.page = c.page and t.ord = c.ord) r""")
 def j8(s, d):
-    r = regions(s, d)
-    return GR.apply_model_roles(r, GR.claim_regions(structures(s, d), r), structures(s, d)).select("region_id", "role", F.round("confidence", 6).alias("confidence"), "state", "parent_region_id")
+    r, found = regions(s, d), contested(s, d)
+    return GR.apply_model_roles(r, GR.claim_regions(found, r), found).select("region_id", "role", F.round("confidence", 6).alias("confidence"), "state", "parent_region_id")
 
 
 def fused(s, d):
@@ -269,19 +304,50 @@ def a23(s, d):
     return GR.verification_summary(fused(s, d))
 
 
-@query("j19_stitch_split_pages")
+# pair by pair of top and bottom structures: the top one as it has grown, and which bottom ones are merged
+STITCHED = f"""{RECURSIVE}, h as ({HALVES_DUCKDB}),
+  t as (select *, row_number() over (partition by document_id, page order by ord) - 1 i from h where y < mid_y), b as (select *, row_number() over (partition by document_id, page order by ord) - 1 i, count(*) over (partition by document_id, page) nb from h where y >= mid_y),
+  kids as (select document_id, page, list(id) kids from (select document_id, page, unnest(region_ids) id from b where role in ('OPTION', 'SUBQUESTION')) group by all),
+  p as (select t.document_id, t.page, t.i * b.nb + b.i k, t.i ti, b.i bi, b.nb, t.ord tord, b.ord bord, t.role, b.role brole, t.region_ids tids, b.region_ids bids, t.display_number tnum, b.display_number bnum, t.confidence tc, b.confidence bc,
+      t.x tx0, t.y ty0, t.x + t.width tx1, t.y + t.height ty1, b.x bx0, b.y by0, b.x + b.width bx1, b.y + b.height by1, t.mid_y, coalesce(kids, []) kids
+    from t join b on t.document_id = b.document_id and t.page = b.page left join kids on kids.document_id = t.document_id and kids.page = t.page),
+  f as (
+    select distinct document_id, page, -1::bigint k, 0::bigint ti, 0::bigint bi, 0::bigint nb, 0 tord, 0 bord, ''::varchar as role, []::varchar[] ids, ''::varchar num, 0.0::double x0, 0.0::double y0, 0.0::double x1, 0.0::double y1, 0.0::double c, []::integer[] merged, false hit, []::varchar[] bids, ''::varchar into_id from p
+    union all
+    select document_id, page, k, ti, bi, nb, tord, bord, role,
+      case when hit then list_concat(ids, list_filter(bids, lambda i: not list_contains(ids, i) and (role <> 'QUESTION' or not list_contains(kids, i)))) else ids end, case when hit then coalesce(num, bnum) else num end,
+      case when hit then least(x0, bx0) else x0 end, case when hit then least(y0, by0) else y0 end, case when hit then greatest(x1, bx1) else x1 end, case when hit then greatest(y1, by1) else y1 end, case when hit then greatest(c, bc) else c end,
+      case when hit then list_append(merged, bord) else merged end, hit, bids, tids[1]
+    from (select *, not list_contains(merged, bord) and role = brole and coalesce(num = bnum, true) and y0 < mid_y and y1 >= mid_y - greatest(2.5 * (y1 - y0), 80) and by0 <= mid_y + greatest(2.5 * (by1 - by0), 80) and by1 > mid_y
+          and (list_has_any(ids, bids) or (greatest(0, by0 - y1) <= greatest(2 * (y1 - y0), 2 * (by1 - by0), 75) and greatest(0, greatest(x0, bx0) - least(x1, bx1)) <= 600)) hit
+      from (select p.*, f.merged, case when p.bi = 0 then tids else f.ids end ids, case when p.bi = 0 then tnum else f.num end num, case when p.bi = 0 then tx0 else f.x0 end x0, case when p.bi = 0 then ty0 else f.y0 end y0, case when p.bi = 0 then tx1 else f.x1 end x1, case when p.bi = 0 then ty1 else f.y1 end y1, case when p.bi = 0 then tc else f.c end c
+        from f join p on p.document_id = f.document_id and p.page = f.page and p.k = f.k + 1))),
+  alone as (select b.* from b anti join (select document_id, page, bord as ord from f where hit) m on m.document_id = b.document_id and m.page = b.page and m.ord = b.ord),
+  whole as (select document_id, page, tord as ord, 'top' as half, role, ids as region_ids, num as display_number, x0 as x, y0 as y, x1 - x0 as width, y1 - y0 as height, c as confidence from f where k >= 0 and bi = nb - 1
+    union all select t.document_id, t.page, t.ord, 'top', t.role, t.region_ids, t.display_number, t.x, t.y, t.width, t.height, t.confidence from t anti join p on p.document_id = t.document_id and p.page = t.page
+    union all select document_id, page, ord + 10000, 'bottom', role, region_ids, display_number, x, y, width, height, confidence from alone),
+  kept as (select distinct document_id, page, unnest(region_ids) old_id from alone),
+  moved as (select document_id, page, old_id, max_by(into_id, k) new_id from (select document_id, page, k, into_id, unnest(bids) old_id from f where hit) anti join kept using (document_id, page, old_id) group by all),
+  remap as (select document_id, old_id, min_by(new_id, page) new_id from moved where old_id <> new_id group by all)"""
+
+
+@query("j19_stitch_split_pages", f"{STITCHED} select document_id, page, ord::integer as ord, half, role, array_to_string(region_ids, ' | ') as region_ids, display_number, x, y, width, height, round(confidence, 6) as confidence from whole")
 def j19(s, d):
-    top = structures(s, d).where("y < 500").withColumn("mid_y", F.lit(500.0))
-    bottom = structures(s, d).where("y >= 500").withColumns({"y": F.col("y") - 500, "mid_y": F.lit(500.0)})
-    whole, _ = GR.stitch_split_pages(top, bottom)
-    return joined(whole, "region_ids").select("document_id", "page", "ord", "role", "region_ids", "y", "height")
+    whole, _ = GR.stitch_split_pages(*halves(s, d))
+    return joined(whole, "region_ids").select("document_id", "page", "ord", "half", "role", "region_ids", "display_number", "x", "y", "width", "height", F.round("confidence", 6).alias("confidence"))
 
 
-@query("j19_remap_edges")
+@query("j19_remap_edges", f"""{STITCHED}, {EDGES}
+  select document_id, source_id, target_id, relationship, max(confidence)::double as confidence from (select e.document_id, coalesce(a.new_id, e.source_id) as source_id, coalesce(z.new_id, e.target_id) as target_id, relationship, confidence
+    from edges e left join remap a on a.document_id = e.document_id and a.old_id = e.source_id left join remap z on z.document_id = e.document_id and z.old_id = e.target_id) where source_id <> target_id group by all""")
 def j19e(s, d):
-    top = structures(s, d).where("y < 500").withColumn("mid_y", F.lit(500.0))
-    bottom = structures(s, d).where("y >= 500").withColumns({"y": F.col("y") - 500, "mid_y": F.lit(500.0)})
-    return GR.remap_edges(edges(s, d), GR.stitch_split_pages(top, bottom)[1])
+    return GR.remap_edges(edges(s, d), GR.stitch_split_pages(*halves(s, d))[1])
+
+
+@query("j19_orphan_edges", f"""{STITCHED}, ends as (select document_id, page, arg_max(region_ids[1], (y, -ord)) filter (half = 'top') as id, min(y) filter (half = 'bottom') as below from whole where role = 'QUESTION' group by all)
+  select w.document_id, region_ids[1] as source_id, id as target_id, 'option_of' as relationship, round(confidence, 6) as confidence from whole w join ends e on e.document_id = w.document_id and e.page = w.page where half = 'bottom' and role = 'OPTION' and id is not null and coalesce(y < below, true)""")
+def j19o(s, d):
+    return GR.orphan_edges(GR.stitch_split_pages(*halves(s, d))[0]).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("j20_collect_continuations")
