@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.steps import shared_folder  # noqa: F401
 from quillmark.plans.fixtures import with_tables
 
 QUERIES: dict[str, Callable] = {}
@@ -32,14 +33,3 @@ def joined(df: DataFrame, *columns: str) -> DataFrame:
 
 def flat(c: str) -> Column:
     return F.array_join(c, " | ")
-
-
-def shared_folder(spark) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a fresh local one."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named

@@ -146,7 +146,7 @@ def lexical(s, d):
     return MT.lexical_similarity(q, a)
 
 
-@query("j14_lexical_similarity")
+@query("j14_lexical_similarity", LEXICAL.strip() + " select c as corpus_id, left_id, right_id, round_even(s, 6) as similarity from sim")
 def j14(s, d):
     return lexical(s, d).select("corpus_id", "left_id", "right_id", F.bround("similarity", 6).alias("similarity"))
 
@@ -156,6 +156,20 @@ def j14b(s, d):
     return lexical(s, d).groupBy("corpus_id").agg(F.count("*").alias("pairs"), F.round(F.sum("similarity"), 4).alias("total"))
 
 
+@query("j14_lexical_candidates", r"""
+  with x as (select coalesce(lang, '') c, doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') w from documents),
+  t as (select c, 'l' as side, id, unnest(w) as term from x where id % 50 = 0 union all select c, 'r', id, unnest(w) from x),
+  tf as (select c, side, id, term, count(*) tf from t group by all), df as (select c, term, count(*) df from tf group by all),
+  n as (select c, count(*) + count(*) filter (id % 50 = 0) n from x group by 1),
+  w as (select tf.*, tf * (ln((1 + n) / (1 + df)) + 1) w from tf join df using (c, term) join n using (c)), u as (select c, side, id, term, w / sqrt(sum(w * w) over (partition by c, side, id)) u from w),
+  sim as (select a.c, a.id as left_id, b.id as right_id, round_even(least(1.0, sum(a.u * b.u)), 4) s from u a join u b on a.c = b.c and a.term = b.term and a.side = 'l' and b.side = 'r' group by all)
+  select c as corpus_id, left_id, right_id, s as similarity from (select *, row_number() over (partition by c, left_id order by s desc, right_id) r from sim) where r <= 5""")
+def j14c(s, d):
+    """Every 50th document against all of its language."""
+    docs = T(s, d, "documents").select(F.coalesce("lang", F.lit("")).alias("corpus_id"), F.col("doc_id").alias("id"), "text")
+    return MT.lexical_best(docs.where("id % 50 = 0"), docs)
+
+
 def vectors(s, d):
     v = T(s, d, "embeddings").select(F.col("label").alias("corpus_id"), F.col("vec_id").alias("id"), "embedding")
     return v.where("id % 50 = 0"), v
@@ -164,16 +178,20 @@ def vectors(s, d):
 @query("j15_dense_similarity", "select a.label as corpus_id, a.vec_id as left_id, b.vec_id as right_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))), 6) as similarity from embeddings a join embeddings b on a.label = b.label where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id")
 def j15(s, d):
     left, right = vectors(s, d)
-    return MT.dense_similarity(left, right).where("left_id <> right_id").select("corpus_id", "left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    return MT.dense_similarity(left, right, apart=True).select(F.col("corpus_id").cast("int").alias("corpus_id"), "left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("j16_semantic_candidates", "select corpus_id, left_id, right_id, rank::integer as rank from (select a.label as corpus_id, a.vec_id as left_id, b.vec_id as right_id, row_number() over (partition by a.label, a.vec_id order by round(greatest(0, least(1, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))), 4) desc, b.vec_id) rank from embeddings a join embeddings b on a.label = b.label where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) where rank <= 5")
 def j16(s, d):
     left, right = vectors(s, d)
-    return MT.semantic_candidates(MT.dense_similarity(left, right).where("left_id <> right_id").withColumn("similarity", F.round("similarity", 4))).select("corpus_id", "left_id", "right_id", "rank")
+    best = MT.dense_similarity(left, right, k=5, apart=True, decimals=4)
+    return MT.semantic_candidates(best).select(F.col("corpus_id").cast("int").alias("corpus_id"), "left_id", "right_id", "rank")
 
 
-@query("j16_candidate_states")
+@query("j16_candidate_states", LEXICAL.strip() + """, r as (select c, left_id, right_id, round_even(s, 4) s, row_number() over (partition by c, left_id order by round_even(s, 4) desc, right_id) rank from sim),
+  b as (select *, max(s) filter (rank = 1) over (partition by c, left_id) best, coalesce(max(s) filter (rank = 2) over (partition by c, left_id), 0) runner_up from r),
+  m as (select *, round_even(best - runner_up, 4) margin from b)
+  select c as corpus_id, left_id, right_id, rank::integer as rank, s as similarity, margin, case when best >= 0.60 and margin >= 0.05 then 'clear' when best >= 0.35 and margin < 0.05 then 'ambiguous' when best < 0.35 then 'low_similarity' else 'moderate' end as state from m where rank <= 5""")
 def j16s(s, d):
     return MT.semantic_candidates(lexical(s, d)).select("corpus_id", "left_id", "right_id", "rank", "similarity", "margin", "state")
 
