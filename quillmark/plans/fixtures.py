@@ -94,8 +94,9 @@ def with_tables(body: str, *names: str) -> str:
     for n in names or [n for n in SQL if re.search(rf"\b{n}\b", body)]:
         need(n)
     parts = [f"{n} as ({duck(SQL[n])})" for n in done]
-    if parts and body.lstrip().lower().startswith("with "):
-        return f"with {', '.join(parts)}, {body.lstrip()[5:]}"
+    for begin in ("with recursive ", "with "):
+        if parts and body.lstrip().lower().startswith(begin):
+            return f"{begin}{', '.join(parts)}, {body.lstrip()[len(begin) :]}"
     return f"with {', '.join(parts)} {body}" if parts else body
 
 

@@ -135,15 +135,23 @@ def t1(s, d):
     return S.run_now(S.latest_status(status(stream(s, d))), folder(s), "complete").select("assessment_id", "state", "progress")
 
 
-@query("t2_stuck_assessments")
+# event by event of each assessment, up to the watermark: since when the run goes on, and which ones were over
+@query("t2_stuck_assessments", f"""with recursive w as (select *, (select max(ts) from status_events) - interval 10 minutes as mark from status_events),
+  e as (select assessment_id, ts, state, row_number() over (partition by assessment_id order by ts, event_id) n from w where ts <= mark),
+  ends as (select assessment_id, ts, state, n from e union all select assessment_id, (select any_value(mark) from w), '', max(n) + 1 from e group by 1),
+  f as (select distinct assessment_id, 0::bigint n, null::timestamp since, null::timestamp lost from ends
+    union all select assessment_id, n, case when state = 'processing' then coalesce(since, ts) when state in ('completed', 'failed') then null else since end, lost
+    from (select e.assessment_id, e.n, e.ts, e.state, case when e.ts - f.since > interval {S.LIMIT_S} seconds then f.since end as lost, case when e.ts - f.since > interval {S.LIMIT_S} seconds then null else f.since end as since
+      from f join ends e on e.assessment_id = f.assessment_id and e.n = f.n + 1))
+  select assessment_id, lost as started, 'failed' as state from f where lost is not null""")
 def t2(s, d):
     return S.run_now(S.stuck_assessments(status(stream(s, d))), folder(s))
 
 
-@query("t3_live_totals", "select user_id as assessment_id, sum(m)::double as marks, count(*) as questions from (select user_id, event_type, arg_max(value, (ts, event_id)) m from events group by 1, 2) group by 1")
+@query("t3_live_totals", "select user_id as assessment_id, sum(m::decimal(18,2))::double as marks, count(*) as questions from (select user_id, event_type, arg_max(value, (ts, event_id)) m from events group by 1, 2) group by 1")
 def t3(s, d):
     e = stream(s, d).select(F.col("user_id").alias("assessment_id"), F.col("event_type").alias("question_id"), "ts", "event_id", F.col("value").cast("decimal(18,2)").alias("marks"))
-    return S.run_now(S.latest_marks(e), folder(s), "complete", S.live_totals).select("assessment_id", F.col("marks").cast("double").alias("marks"), "questions")
+    return S.run_updates(S.live_totals(e), folder(s), "assessment_id").select("assessment_id", F.col("marks").cast("double").alias("marks"), "questions")
 
 
 @query("t4_audit_rates", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")

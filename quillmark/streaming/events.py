@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROGRESS = {"uploaded": 0.05, "processing": 0.10, "extracting": 0.30, "mapping": 0.50, "grading": 0.70, "completed": 1.0, "failed": 1.0}
 LATE, LIMIT_S = "10 minutes", 1200
@@ -36,52 +37,110 @@ def dedupe_events(events: DataFrame, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
-def latest_marks(overrides: DataFrame) -> DataFrame:
-    """The last marks of each question. overrides: assessment_id, question_id, ts, event_id, marks."""
-    last = overrides.groupBy("assessment_id", "question_id").agg(F.max(F.struct("ts", "event_id", "marks")).alias("last"))
-    return last.select("assessment_id", "question_id", "last.marks")
+class Totals(StatefulProcessor):
+    """The running totals of one assessment: its questions' last marks, their sum and number.
 
+    An override that is older than the one kept changes nothing, so that the order of arrival doesn't matter. What is kept
+    goes after ``keep_ms`` without a change; an override after that counts anew.
+    """
 
-def live_totals(latest: DataFrame) -> DataFrame:
-    """The running totals of each assessment, from the state of ``latest_marks``: what a batch of the stream writes."""
-    return latest.groupBy("assessment_id").agg(F.sum("marks").alias("marks"), F.count("*").alias("questions"))
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.marks = handle.getMapState("marks", "question_id string", "at long, event_id long, cents long", ttlDurationMs=self.keep_ms)
+        self.total = handle.getValueState("total", "cents long, questions long", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cents, questions = tuple(self.total.get()) if self.total.exists() else (0, 0)
+        for row in rows:
+            name = (row.question_id,)
+            known = self.marks.getValue(name) if self.marks.containsKey(name) else None
+            if known is not None and (row.at, row.event_id) <= (known[0], known[1]):
+                continue
+            cents += row.cents - (known[2] if known is not None else 0)
+            questions += known is None
+            self.marks.updateValue(name, (row.at, row.event_id, row.cents))
+        self.total.update((cents, questions))
+        yield Row(assessment_id=key[0], cents=cents, questions=questions)
+
+    def close(self) -> None:
+        pass
 
-def stuck_assessments(status: DataFrame, limit_s: int = LIMIT_S, late: str = LATE) -> DataFrame:
-    """A failed row for each processing state that neither completes nor fails within ``limit_s`` seconds of event time.
 
-    Each processing state has a timer of its own, kept in a list per assessment: completed or failed clears them all, a later
-    event or the watermark fires those that are over. Events up to the epoch (1970) are late from the start and not seen.
+def live_totals(overrides: DataFrame, keep_days: int = 400) -> DataFrame:
+    """A stream of the totals (assessment_id, marks, questions) of each assessment that a batch changes: the last is the truth.
+
+    overrides: assessment_id, question_id, ts, event_id, marks (decimals of 2 places; null: ignored). A fold over keyed
+    state: a batch costs what it brings, whatever has come before.
     """
+    rows = overrides.where("marks is not null").select("assessment_id", F.coalesce("question_id", F.lit("")).alias("question_id"), F.unix_micros("ts").alias("at"), "event_id", (F.col("marks") * 100).cast("long").alias("cents"))
+    out = rows.groupBy("assessment_id").transformWithState(Totals(keep_days * 86_400_000), "assessment_id long, cents long, questions long", "Update", "ProcessingTime")
+    return out.select("assessment_id", (F.col("cents") / 100).cast("decimal(18,2)").alias("marks"), "questions")
+
 
-    limit = limit_s * 1_000_000
+class Watch(StatefulProcessor):
+    """Runs of one assessment that go on for too long.
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        since = list(state.get[0]) if state.exists else []
-        out = []
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() * 1000
-            out, since = [s for s in since if now - s >= limit], [s for s in since if now - s < limit]
+    Events wait in a list until the watermark has passed them, then count in the order of their time: the order of arrival
+    doesn't matter. A run begins with the first processing state after the last run, and ends with completed or failed, or
+    as failed when its time is over.
+    """
+
+    def __init__(self, limit_s: int):
+        self.limit = limit_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, state string")
+        self.since = handle.getValueState("since", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        fresh = [(r.at, r.event_id, r.state) for r in rows]
+        self.waiting.appendList(fresh)
+        self.handle.registerTimer(self.due(min(at for at, _, _ in fresh)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
+        since, out = self.since.get()[0] if self.since.exists() else None, []
+        for at, _, state in [*ready, (now, None, None)]:
+            if since is not None and at - since > self.limit:
+                out.append(since)
+                since = None
+            if state == "processing" and since is None:
+                since = at
+            elif state in ("completed", "failed"):
+                since = None
+        self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(self.due(later[0][0]))
+        if since is None:
+            self.since.clear()
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            for ts, what in zip(rows.ts, rows.state, strict=True):
-                now = int(ts.value // 1000)
-                out += [s for s in since if now - s > limit]
-                since = [s for s in since if now - s <= limit]
-                if what == "processing":
-                    since.append(now)
-                elif what in ("completed", "failed"):
-                    since = []
-        if since:
-            state.update((since,))
-            state.setTimeoutTimestamp(max(since[0] // 1000 + limit_s * 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame({"assessment_id": [key[0]] * len(out), "started": [pd.Timestamp(s, unit="us") for s in out], "state": "failed"})
-
-    grouped = status.withWatermark("ts", late).groupBy("assessment_id")
-    return grouped.applyInPandasWithState(follow, "assessment_id long, started timestamp, state string", "since array<long>", "append", "EventTimeTimeout")
+            self.since.update((since,))
+            self.handle.registerTimer(self.due(since + self.limit + 1))
+        return (Row(assessment_id=key[0], started=at, state="failed") for at in out)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def due(micros: int) -> int:
+        return -(-micros // 1000)
+
+
+def stuck_assessments(status: DataFrame, limit_s: int = LIMIT_S, late: str = LATE) -> DataFrame:
+    """assessment_id, started, state (failed) of each run that goes on for more than ``limit_s`` seconds of event time.
+
+    status: assessment_id, ts, event_id, state. A run is told once, however many processing states it has, and when the
+    watermark (``late`` behind the latest event) is beyond its time; what comes later than the watermark is dropped.
+    """
+    rows = status.withWatermark("ts", late).select("assessment_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "state")
+    out = rows.groupBy("assessment_id").transformWithState(Watch(limit_s), "assessment_id long, started long, state string", "Append", "EventTime")
+    return out.select("assessment_id", F.timestamp_micros("started").alias("started"), "state")
 
 
 def read_events(spark: SparkSession, path: str, files_each: int = 1) -> DataFrame:
@@ -89,16 +148,50 @@ def read_events(spark: SparkSession, path: str, files_each: int = 1) -> DataFram
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
-def run_now(stream: DataFrame, folder: str, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over what is there and read its result back. Append goes to Parquet; other modes keep the last batch's rows, as ``then`` makes them."""
+#: Several states and timers of one key need RocksDB as state store.
+KEYED = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: State that goes with time asks for batches without data for ever; a run over what is there has to end.
+ENDING = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+@contextmanager
+def settings(spark: SparkSession, some: dict[str, str]) -> Iterator[None]:
+    """Settings for the streams that start meanwhile."""
+    before = {k: spark.conf.get(k) for k in some}
+    for k, v in some.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def run_now(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and read its result back. Append goes to Parquet, complete keeps the last batch's rows."""
     spark = stream.sparkSession
     out, mark = f"{folder}/out", f"{folder}/mark"
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    else:
+    with settings(spark, KEYED):
+        if mode == "append":
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        else:
+
+            def put(batch: DataFrame, i: int) -> None:
+                batch.write.mode("overwrite").parquet(out)
+
+            stream.writeStream.foreachBatch(put).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_updates(stream: DataFrame, folder: str, key: str) -> DataFrame:
+    """Run a stream of updates over what is there; the last row of each key. A batch that runs again replaces its own rows."""
+    spark = stream.sparkSession
+    out = f"{folder}/out"
 
-        def put(batch: DataFrame, i: int) -> None:
-            (then(batch) if then else batch).write.mode("overwrite").parquet(out)
+    def put(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
 
-        stream.writeStream.foreachBatch(put).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out) if then else spark.read.schema(stream.schema).parquet(out)
+    with settings(spark, KEYED | ENDING):
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/mark").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last")).select("last.*")
