@@ -4,13 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 KEY = ["assessment_id", "question_id"]
 
 
-def canonical_hash(*columns: str) -> Column:
-    """SHA-256 of the columns as JSON in the order of their names; nulls are written."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+def canonical(value: Column, type_: DataType) -> Column:
+    """``value`` with the fields of its structs in the order of their names and the keys of its maps in order, at every depth.
+
+    Lists keep their order. The form is built from the schema, so it costs one expression, whatever the data.
+    """
+    if isinstance(type_, StructType):
+        fields = sorted(type_.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(canonical(value[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(type_, ArrayType):
+        return F.transform(value, lambda v: canonical(v, type_.elementType))
+    if isinstance(type_, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], type_.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
+    return value
+
+
+def canonical_json(rows: DataFrame, *columns: str) -> Column:
+    """The columns of ``rows`` as one JSON object in canonical form; nulls are written."""
+    parts = {f.name: f.dataType for f in rows.select(*columns).schema.fields}
+    return F.to_json(F.struct(*(canonical(F.col(c), parts[c]).alias(c) for c in sorted(parts))), {"ignoreNullFields": "false"})
+
+
+def canonical_hash(rows: DataFrame, *columns: str) -> Column:
+    """SHA-256 of ``canonical_json``: payloads that differ in the order of fields or keys only, at any depth, hash alike."""
+    return F.sha2(canonical_json(rows, *columns).cast("binary"), 256)
+
+
+def typed_events(events: DataFrame, *payloads: str) -> DataFrame:
+    """Audit events whose payload columns, JSON texts of any shape, become VARIANT; what is no JSON is null, its text in <name>_text."""
+    kept = {f"{c}_text": F.when(F.try_parse_json(c).isNull(), F.col(c)) for c in payloads}
+    return events.withColumns(kept | {c: F.try_parse_json(F.col(c)) for c in payloads})
+
+
+def payload_kind(value: Column) -> Column:
+    """What a payload is: object, list, number, boolean, text, null, or none where there is no payload."""
+    name = F.schema_of_variant(value)
+    return (F.when(value.isNull(), "none").when(F.is_variant_null(value), "null").when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "list").when(name == "BOOLEAN", "boolean")
+            .when(name == "STRING", "text").otherwise("number"))
+
+
+def payload_at(value: Column, path: str, type_: str) -> Column:
+    """What stands at a path of a payload, as a type; null where there is nothing or something else."""
+    return F.try_variant_get(value, path, type_)
 
 
 def validate_overrides(events: DataFrame, results: DataFrame) -> DataFrame:
@@ -58,8 +99,8 @@ def finalize(totals: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame
 
 def snapshots(done: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """payload and hash of each (assessment, revision) that ``known`` hasn't: a snapshot is never written again."""
-    columns = sorted(c for c in done.columns if c not in ("finalized_at",))
-    rows = done.select("assessment_id", "revision_index", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("payload"))
+    columns = [c for c in done.columns if c != "finalized_at"]
+    rows = done.select("assessment_id", "revision_index", canonical_json(done, *columns).alias("payload"))
     rows = rows.withColumn("snapshot_hash", F.sha2(F.col("payload").cast("binary"), 256))
     return rows if known is None else rows.join(known.select("assessment_id", "revision_index"), ["assessment_id", "revision_index"], "left_anti")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.operators import history as H
@@ -79,9 +80,35 @@ def s6(s, d):
     return again.select(F.lit(1).alias("again")).unionByName(known.select(F.lit(0).alias("again"))).agg(F.count_if(F.col("again") == 1).alias("written_again"), F.count_if(F.col("again") == 0).alias("written"))
 
 
-@query("p27_canonical_hash")
+@query("p27_canonical_hash", """select assessment_id, question_id, sha256('{"assessment_id":' || assessment_id || ',"criteria":[' || string_agg('{"confidence":' || confidence || ',"id":"' || criterion_id || '","note":' || case when k = 1 then 'null' else '{"by":"' || provenance || '","text":"' || notes || '"}' end || '}', ',' order by k) || '],"marks":{' || string_agg('"' || criterion_id || '":' || max_marks, ',' order by criterion_id) || '},"question_id":"' || question_id || '"}') as hash
+  from criterion_evidence group by 1, 2""")
 def p27(s, d):
-    return T(s, d, "question_results").select("assessment_id", "question_id", H.canonical_hash("assessment_id", "question_id", "awarded_marks", "review_status").alias("hash"))
+    """A nested payload whose fields and keys come in another order than that of their names."""
+    note = F.when(F.col("k") != 1, F.struct(F.col("notes").alias("text"), F.col("provenance").alias("by")))
+    rows = T(s, d, "criterion_evidence").groupBy("question_id", "assessment_id").agg(
+        F.array_sort(F.collect_list(F.struct("k", note.alias("note"), F.col("criterion_id").alias("id"), "confidence"))).alias("c"), F.map_from_entries(F.reverse(F.array_sort(F.collect_list(F.struct("criterion_id", "max_marks"))))).alias("marks"))
+    rows = rows.withColumn("criteria", F.transform("c", lambda c: F.struct(c["note"].alias("note"), c["id"].alias("id"), c["confidence"].alias("confidence"))))
+    return rows.select("assessment_id", "question_id", H.canonical_hash(rows, "question_id", "marks", "criteria", "assessment_id").alias("hash"))
+
+
+# payloads of every shape
+PAYLOADS = """case event_id % 7 when 0 then props when 1 then concat('{"marks": {"final": ', event_id % 50, '.5, "by": "', event_type, '"}, "ids": [', event_id, ', 7]}') when 2 then concat('[', event_id, ', "', event_type, '"]')
+  when 3 then concat('"', event_type, '"') when 4 then cast(event_id as string) when 5 then case when event_id % 2 = 0 then 'true' else 'null' end else concat('not json ', event_id) end"""
+
+
+@query("h4_audit_payloads", f"""with e as (select event_id, user_id, ts, ({PAYLOADS}) as p from events), j as (select *, case when json_valid(p) then p::json end as v from e)
+  select event_id, case when v is null then 'none' else case json_type(v) when 'OBJECT' then 'object' when 'ARRAY' then 'list' when 'VARCHAR' then 'text' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end end as kind, case when v is null then p end as raw,
+    try_cast(v ->> '$.k' as integer) as k, try_cast(v ->> '$.marks.final' as double) as final, v ->> '$.marks.by' as by_whom, try_cast(v ->> '$.ids[0]' as bigint) as first_id, coalesce(lag(case when v is null then 'none' else 'json' end) over (partition by user_id order by ts, event_id), 'first') as before
+  from j""")
+def h4p(s, d):
+    """Written with a VARIANT column and read back."""
+    path = f"{shared_folder(s)}/audit-{uuid.uuid4().hex}"
+    e = T(s, d, "events").select("event_id", "user_id", "ts", F.expr(PAYLOADS).alias("new_value"))
+    I.append_events(H.typed_events(e, "new_value"), path)
+    v = F.col("new_value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = F.coalesce(F.lag(F.when(v.isNull(), "none").otherwise("json")).over(w), F.lit("first"))
+    return I.read_results(s, path).select("event_id", H.payload_kind(v).alias("kind"), F.col("new_value_text").alias("raw"), H.payload_at(v, "$.k", "int").alias("k"), H.payload_at(v, "$.marks.final", "double").alias("final"), H.payload_at(v, "$.marks.by", "string").alias("by_whom"), H.payload_at(v, "$.ids[0]", "long").alias("first_id"), before.alias("before"))
 
 
 @query("h5_revision_history", "select assessment_id, (row_number() over (partition by assessment_id order by ts, event_id))::integer as revision_index from status_events where state = 'completed' and assessment_id in (select assessment_id from question_results)")

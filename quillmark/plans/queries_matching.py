@@ -51,6 +51,17 @@ def s1(s, d):
     return rows.withColumn("v", I.file_verdict(F.col("name"), F.col("length"))).select("doc_id", "v.extension", "v.reason")
 
 
+@query("s1_scan_files", "select coalesce(source, 'none') as source, (coalesce(doc_id, 0) % 3)::integer as part, '.txt' as extension, 'unsupported_extension' as reason, sum(coalesce(strlen(text), 0) + 1)::bigint as length from documents group by 1, 2")
+def s1f(s, d):
+    """Texts written as files, one for each source and part, and listed from where they lie."""
+    path = f"{shared_folder(s)}/scans-{uuid.uuid4().hex}"
+    docs = T(s, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), (F.coalesce("doc_id", F.lit(0)) % 3).cast("int").alias("part"), "text")
+    docs.write.partitionBy("source", "part").text(path)
+    files = I.scan_file_manifest(s, path)
+    at = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    return files.groupBy(at("source").alias("source"), at("part").cast("int").alias("part"), "extension", "reason").agg(F.sum("length").alias("length"))
+
+
 def responses(s, d):
     """Model answers of each conversation as JSON: fenced, truncated, broken or plain by its id."""
     rows = T(s, d, "questions").groupBy(F.col("assessment_id").cast("string").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("order_index", "number", "text", F.col("max_marks").cast("string").alias("max_marks")))).alias("q"))
