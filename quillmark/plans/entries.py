@@ -12,6 +12,7 @@ from quillmark.plans.fixtures import with_tables
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # the SQL as it is written, for the SQL of queries that build on it
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     def register(f: Callable) -> Callable:
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = with_tables(sql)
+            BODIES[name], ORACLES[name] = sql, with_tables(sql)
         return f
 
     return register

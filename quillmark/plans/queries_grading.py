@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark.functions.steps import written
 from quillmark.functions.text import words
 from quillmark.operators import grading as G
 from quillmark.operators import matching as MT
-from quillmark.plans.entries import joined, query
+from quillmark.plans.entries import BODIES, joined, query
 from quillmark.plans.fixtures import table as T
 
 E = "criterion_evidence"
@@ -258,11 +259,6 @@ def evidence(s, d):
     return G.criterion_status(rows)
 
 
-@query("p24_criterion_status")
-def p24(s, d):
-    return evidence(s, d).select(*KEYS, "criterion_id", "description", "max_marks", "evidence_status", F.bround("evidence_confidence", 6).alias("evidence_confidence"))
-
-
 @query("p23_mcq_evidence", f"""
   select assessment_id, question_id, case when gone then 'missing' when known is null then null when letter is null then 'uncertain' when letter = known then 'present' else 'missing' end as status,
     case when gone then 0.98 when known is null then null when letter is null then 0.5 else 0.98 end::double as confidence
@@ -272,6 +268,37 @@ def p23(s, d):
     return a.withColumn("m", G.mcq_evidence(F.lit(True), F.col("unanswered"), F.col("correct_option"), F.col("letter"))).select(*KEYS, "m.status", "m.confidence")
 
 
+DESCRIPTION_STOP = ", ".join(f"'{w}'" for w in G.DESCRIPTION_STOP_WORDS)
+#: Similarity of each criterion (with its question) to the answer, fitted on the criteria and the answer of one question.
+CRITERION_SIMILARITY = rf"""
+  (with r as ({BODIES["a2_build_rubric"]}), x as (select r.assessment_id, r.question_id, criterion_id as id, 'l' as side, concat_ws(' ', description, a.text) as body from r join {ANSWERED} a using (assessment_id, question_id)
+      union all select assessment_id, question_id, 'answer', 'r', coalesce(answer_text, '') from {ANSWERED}),
+    t as (select assessment_id, question_id, id, side, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+')) as term from x), tf as (select *, count(*) as tf from t group by all), df as (select assessment_id, question_id, term, count(*) as df from tf group by all),
+    n as (select assessment_id, question_id, count(*) as n from x group by all), w as (select tf.*, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (assessment_id, question_id, term) join n using (assessment_id, question_id)),
+    u as (select *, w / sqrt(sum(w * w) over (partition by assessment_id, question_id, side, id)) as u from w)
+  select a.assessment_id, a.question_id, a.id as criterion_id, least(1.0, sum(a.u * b.u)) as similarity from u a join u b on a.assessment_id = b.assessment_id and a.question_id = b.question_id and a.term = b.term and a.side = 'l' and b.side = 'r' group by all)"""
+#: Criteria with everything the rules look at, then the first rule that decides.
+EVIDENCE = rf"""
+  (select *, case when by_choice then mcq_status when gone then 'missing' when math_on then case when math_score >= 0.85 then 'present' when math_score >= 0.4 then 'partially_present' else 'missing' end when visual_on then 'uncertain'
+      when keyed and direct then 'present' when keyed and short_key and not word_match then 'missing' when s <> '' and severity <> 'none' then 'contradicted' when full_match then 'present' when sim >= 0.20 or word_match then 'partially_present' else 'missing' end as evidence_status,
+    case when by_choice then mcq_confidence when gone then 0.95 when math_on then math_confidence when visual_on then 0.5 when keyed and direct then 0.96 when keyed and short_key and not word_match then 0.95 when s <> '' and severity <> 'none' then 0.85
+      when full_match then least(0.95, greatest(0.75, case when n_words <= 4 then 0.90 else sim + 0.35 end)) when sim >= 0.20 or word_match then 0.7 when length(s) < 5 then 0.9 else 0.85 end::double as evidence_confidence
+  from (select *, word_match and n_words <= 4 or sim >= 0.30 or word_match and n_words >= 8 as full_match, length(wanted) >= 2 as keyed, contains(low, wanted) or (contains(wanted, low) and length(low) >= 3) as direct,
+      answer_type in ('one_word', 'mcq') or (case when wanted = '' then 0 else len(regexp_split_to_array(wanted, '\s+')) end) <= 2 as short_key, answer_type = 'mcq' and mcq_status is not null as by_choice
+    from (select r.*, a.s, lower(a.s) as low, a.answer_text, coalesce(trim(a.answer_text), '') = '' as gone, case when a.s = '' then 0 else len(regexp_split_to_array(a.s, '\s+')) end as n_words, lower(regexp_replace(coalesce(a.correct_answer, ''), '^\s+|\s+$', '', 'g')) as wanted, coalesce(similarity, 0) as sim, t.expected_answer_type as answer_type, t.has_diagram,
+        c.status as mcq_status, c.confidence as mcq_confidence, m.score as math_score, m.confidence as math_confidence,
+        regexp_matches(lower(description), 'calculation|formula|numeric') and t.has_math and coalesce(m.valid, false) as math_on, regexp_matches(lower(description), 'diagram|sketch|visual') and t.has_diagram as visual_on,
+        len(list_filter(regexp_extract_all(description, '\b([a-zA-Z]{{3,}})\b', 1), lambda w: lower(w) not in ({DESCRIPTION_STOP}) and contains(lower(a.s), lower(w)))) > 0 as word_match,
+        case when ((contains(lower(description), 'dropout') or contains(lower(a.s), 'dropout')) and contains(lower(a.s), 'increase') and regexp_matches(lower(a.s), 'neuron|capacity')) or (regexp_matches(lower(description), 'vanishing gradient|relu') and contains(lower(a.s), 'relu causes vanishing gradient')) then 'core' when regexp_matches(lower(a.s), 'never|opposite|incorrectly') then 'minor' else 'none' end as severity
+      from ({BODIES["a2_build_rubric"]}) r join {ANSWERED} a using (assessment_id, question_id) join ({BODIES["p9_expected_answer_type"]}) t using (assessment_id, question_id) join ({BODIES["p20_numeric_answer_score"]}) m using (assessment_id, question_id)
+        join ({BODIES["p23_mcq_evidence"]}) c using (assessment_id, question_id) left join {CRITERION_SIMILARITY} l using (assessment_id, question_id, criterion_id))))"""
+
+
+@query("p24_criterion_status", f"select assessment_id, question_id, criterion_id, description, max_marks, evidence_status, round_even(evidence_confidence, 6) as evidence_confidence from {EVIDENCE}")
+def p24(s, d):
+    return evidence(s, d).select(*KEYS, "criterion_id", "description", "max_marks", "evidence_status", F.bround("evidence_confidence", 6).alias("evidence_confidence"))
+
+
 def local_criteria(s, d):
     return evidence(s, d).select(*KEYS, "criterion_id", "k", "description", "max_marks", F.col("evidence_status").alias("status"), F.col("evidence_confidence").cast("decimal(4,2)").alias("confidence"), F.col("evidence_notes").alias("notes"))
 
@@ -281,18 +308,47 @@ def routed(a, criteria):
     return G.grading_route(q, criteria).select(*KEYS, "decision", "reason")
 
 
-@query("p25_grading_route")
+#: Local evidence as it is scored, the route of each question, and what of it stands where a proposal has failed.
+LOCAL = f"(select assessment_id, question_id, criterion_id, k, description, max_marks, evidence_status as status, round(evidence_confidence, 2)::decimal(4,2) as confidence, case when evidence_status = 'contradicted' then 'Contradiction detected (' || severity || ' severity)' end as notes from {EVIDENCE})"
+ROUTES = f"""
+  (select assessment_id, question_id, q.text, q.answer_text, gone, route[1] as decision, route[2] as reason
+  from (select *, case when gone then ['LOCAL_CLEAR_WITH_HIGH_CONFIDENCE', 'unanswered'] when fact and unsure then ['LLM_RECOMMENDED', 'mcq_option_uncertain'] when fact then ['LOCAL_CLEAR_WITH_HIGH_CONFIDENCE', 'clear_short_factual_or_mcq']
+        when (has_diagram or content_type in ('diagram', 'visual_only')) and has_regions then ['LLM_REQUIRED', 'diagram_visual_understanding'] when contra then ['LLM_REQUIRED', 'contradiction_severity_uncertain'] when part or unsure then ['LLM_RECOMMENDED', 'semantic_ambiguity']
+        when deep then ['LLM_RECOMMENDED', 'complex_conceptual_paraphrasing'] when mean < 0.75 then ['LLM_REQUIRED', 'local_confidence_low'] else ['LOCAL_CLEAR_WITH_HIGH_CONFIDENCE', 'local_evidence_high_confidence'] end as route
+    from (select a.*, coalesce(trim(a.answer_text), '') = '' as gone, a.answer_text is not null as has_regions, c.content_type, t.has_diagram, c.content_type in ('mcq_selection', 'number') or expected_answer_type in ('mcq', 'one_word') as fact,
+        expected_answer_type in ('explanation', 'long_conceptual', 'short_conceptual', 'process', 'comparison', 'definition') and (case when a.s = '' then 0 else len(regexp_split_to_array(a.s, '\\s+')) end) > 4 as deep,
+        bool_or(l.status = 'uncertain') as unsure, bool_or(l.status = 'contradicted') as contra, bool_or(l.status = 'partially_present') as part, avg(l.confidence) as mean
+      from {ANSWERED} a join ({BODIES["p7_answer_content_type"]}) c using (assessment_id, question_id) join ({BODIES["p9_expected_answer_type"]}) t using (assessment_id, question_id) left join {LOCAL} l using (assessment_id, question_id)
+      group by all)) q)"""
+
+
+@query("p25_grading_route", f"select assessment_id, question_id, decision, reason from {ROUTES}")
 def p25(s, d):
     return routed(answered(s, d), local_criteria(s, d))
 
 
-@query("a25_grade_answers")
+GRADED = f"""
+  (select l.* exclude (status), decision, failed, case when failed and status = 'missing' then 'uncertain' else status end as status from (select l.*, decision, decision in ('LLM_REQUIRED', 'LLM_RECOMMENDED') and assessment_id % 4 = 0 as failed from {LOCAL} l join {ROUTES} r using (assessment_id, question_id) where not gone) l)"""
+FIRST_TWO = "array_to_string(list(case when {0} then {1} || description end order by k) filter ({0})[:2], '; ')"
+
+
+@query("a25_grade_answers", f"""
+  with g as {GRADED},
+  s as (select assessment_id, question_id, any_value(decision) as decision, bool_or(failed) as failed, sum(max_marks)::decimal(10,2) as mx, sum({CREDIT}) as total, avg(confidence) as mean, bool_or(status = 'uncertain') as unc, bool_or(status = 'contradicted') as contra, bool_or(status = 'contradicted' and contains(lower(coalesce(notes, '')), 'core')) as core,
+      'Key Strengths: ' || nullif({FIRST_TWO.format("status = 'present'", "'✓ '")}, '') as f1, 'Notes: ' || nullif({FIRST_TWO.format("status = 'contradicted'", "case when contains(lower(coalesce(notes, '')), 'core') then '✗ Core contradiction: ' else '⚠ Minor misstatement: ' end")}, '') as f2,
+      'Missing: ' || nullif({FIRST_TWO.format("status = 'missing'", "'✗ Missing: '")}, '') as f3, 'Uncertain: ' || nullif({FIRST_TWO.format("status = 'uncertain'", "'? Insufficient evidence: '")}, '') as f4
+    from g group by 1, 2),
+  m as (select *, case when core then 0 else greatest(0, least(total, mx)) end::decimal(10,2) as marks, round_even(cast(least(mean::double, case when unc then 0.52 when contra then 0.68 else 1.0 end) as decimal(12,3)), 2)::decimal(10,2) as conf from s)
+  select assessment_id, question_id, mx as max_marks, marks as awarded_marks, case when failed then least(conf, 0.52) else conf end::decimal(10,2) as confidence, failed or unc or contra or conf < 0.85 as needs_review, case when failed or unc or contra or conf < 0.85 then 'review_required' else 'graded' end as status, decision,
+    concat_ws(' ', 'Score: ' || marks || '/' || mx || ' (Confidence: ' || floor(conf * 100)::bigint || '%).', f1, f2, f3, f4) as feedback from m
+  union all select assessment_id, id, resolved_marks, 0.00::decimal(10,2), 0.95::decimal(10,2), false, 'unanswered', 'LOCAL_CLEAR_WITH_HIGH_CONFIDENCE', 'No student answer submitted.'
+  from (select assessment_id, id, {RESOLVED} from questions) join (select assessment_id, question_id as id from {ROUTES} where gone) using (assessment_id, id)""")
 def a25(s, d):
     """Specification, rubric, local evidence, route, marks; unanswered questions beside. Escalated questions whose number is divisible by 4 stand for failed proposals."""
-    a, local = answered(s, d).persist(), local_criteria(s, d).persist()
+    a, local = answered(s, d), written(local_criteria(s, d), "evidence")
     asked = F.col("decision").isin("LLM_REQUIRED", "LLM_RECOMMENDED")
     failed = asked & (F.col("assessment_id") % 4 == 0)
-    kept = G.fallback_evidence(local.join(routed(a, local), KEYS), failed, F.lit(True)).persist()
+    kept = G.fallback_evidence(local.join(routed(a, local), KEYS), failed, F.lit(True))
     open_ = G.grade_unanswered(a)
     how = kept.groupBy(*KEYS).agg(F.first("evaluation_method").alias("method"), F.first("decision").alias("decision"))
     scored = G.feedback_text(G.score_questions(kept)).join(how, KEYS).join(open_.select(*KEYS), KEYS, "left_anti")
@@ -301,9 +357,15 @@ def a25(s, d):
     return scored.unionByName(open_.withColumns({"decision": F.lit("LOCAL_CLEAR_WITH_HIGH_CONFIDENCE"), "feedback": F.lit("No student answer submitted.")}))
 
 
-@query("s8_build_requests")
+@query("s8_build_requests", f"""
+  with c as (select assessment_id, question_id, list(struct_pack(criterion_id, description, max_marks) order by k) as criteria from ({BODIES["a2_build_rubric"]}) group by all)
+  select assessment_id, question_id, text as question_text, answer_text as student_answer, reason, len(criteria)::integer as n, array_to_string(list_transform(criteria, lambda x: x.criterion_id || '/' || x.description || '/' || x.max_marks), ' | ') as criteria
+  from {ROUTES} join c using (assessment_id, question_id) where decision in ('LLM_REQUIRED', 'LLM_RECOMMENDED')""")
 def s8(s, d):
     from quillmark.sources.ingest import build_requests
 
     a = answered(s, d)
-    return build_requests(p25(s, d), a.select(*KEYS, "text"), a.select(*KEYS, F.col("answer_text").alias("text")), a2(s, d))
+    sent = build_requests(p25(s, d), a.select(*KEYS, "text"), a.select(*KEYS, F.col("answer_text").alias("text")), a2(s, d))
+    ddl = "question_text string, student_answer string, reason string, criteria array<struct<criterion_id: string, description: string, max_marks: decimal(10,2)>>"
+    said = F.transform("p.criteria", lambda c: F.concat_ws("/", c["criterion_id"], c["description"], c["max_marks"]))
+    return sent.withColumn("p", F.from_json("payload", ddl)).select(*KEYS, "p.question_text", "p.student_answer", "p.reason", F.size("p.criteria").alias("n"), F.array_join(said, " | ").alias("criteria"))
