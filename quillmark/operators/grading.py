@@ -255,15 +255,21 @@ def criterion_credit(status: Column, notes: Column, max_marks: Column) -> Column
     return mround(max_marks * share.cast("decimal(3,2)"))
 
 
+EVIDENCE_CLASSES = {"correct_evidence": "present", "missing_evidence": "missing", "incorrect_evidence": "contradicted", "partial_evidence": "partially_present", "uncertain_evidence": "uncertain"}
+
+
 def score_questions(criteria: DataFrame) -> DataFrame:
-    """Marks, confidence, review flag and the labelled evidence of each question."""
+    """Marks, confidence, review flag and the labelled evidence of each question: criteria are collected and sorted once."""
     s, core = F.col("status"), (F.col("status") == "contradicted") & F.lower(F.coalesce("notes", F.lit(""))).contains("core")
-    label = lambda when, before, after="": ordered(F.when(when, F.concat(F.lit(before), "description", F.lit(after))), "k")
-    rows = criteria.withColumn("credit", criterion_credit(s, F.col("notes"), F.col("max_marks")))
+    say = lambda before, after="": F.concat(F.lit(before), "description", F.lit(after))
+    told = (F.when(s == "present", say("✓ ")).when(s == "missing", say("✗ Missing: ")).when(core, say("✗ Core contradiction: ")).when(s == "contradicted", say("⚠ Minor misstatement: "))
+            .when(s == "partially_present", say("⚠ ", " (Partial coverage)")).when(s == "uncertain", say("? Insufficient evidence: ")))
+    rows = criteria.withColumns({"credit": criterion_credit(s, F.col("notes"), F.col("max_marks")), "told": told})
     sums = rows.groupBy("assessment_id", "question_id").agg(
         F.sum("max_marks").alias("max"), F.sum("credit").alias("sum"), F.avg("confidence").alias("mean"), F.bool_or(s == "uncertain").alias("uncertain"), F.bool_or(s == "contradicted").alias("contradicted"), F.bool_or(core).alias("core"),
-        label(s == "present", "✓ ").alias("correct_evidence"), label(s == "missing", "✗ Missing: ").alias("missing_evidence"), ordered(F.when(core, F.concat(F.lit("✗ Core contradiction: "), "description")).when(s == "contradicted", F.concat(F.lit("⚠ Minor misstatement: "), "description")), "k").alias("incorrect_evidence"),
-        label(s == "partially_present", "⚠ ", " (Partial coverage)").alias("partial_evidence"), label(s == "uncertain", "? Insufficient evidence: ").alias("uncertain_evidence"))
+        F.array_sort(F.collect_list(F.when(F.col("told").isNotNull(), F.struct("k", "told", "status")))).alias("all"))
+    of = lambda what: F.transform(F.filter("all", lambda c: c["status"] == what), lambda c: c["told"])
+    sums = sums.withColumns({name: of(what) for name, what in EVIDENCE_CLASSES.items()})
     cap = F.when(F.col("uncertain"), 0.52).when(F.col("contradicted"), 0.68).otherwise(1.0)
     conf = mround(F.least(F.col("mean").cast("double"), cap))
     marks = F.when(F.col("core"), 0).otherwise(F.greatest(F.lit(0), F.least("sum", "max"))).cast("decimal(10,2)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import graph as GR
 from quillmark.operators import regions as RG
-from quillmark.plans.entries import joined, query
+from quillmark.plans.entries import BODIES, joined, query
 from quillmark.plans.fixtures import CONTESTED_DUCKDB, HALVES_DUCKDB, contested, halves, regions, table
 from quillmark.plans.fixtures import REGIONS_DUCKDB as R
 
@@ -218,7 +218,10 @@ def j17(s, d):
     return RG.section_membership(regions(s, d).withColumnRenamed("role", "region_type"))
 
 
-@query("j18_cross_page_continuation")
+@query("j18_cross_page_continuation", rf"""{R}, p as (select document_id, page, arg_min(struct_pack(region_id, text, role), ord) as first, arg_max(struct_pack(region_id, text), ord) as last, arg_max(struct_pack(region_id, text), ord) filter (role = 'QUESTION') as question from regions group by 1, 2),
+  n as (select document_id, coalesce(question, last) as b, lead(first) over (partition by document_id order by page) as a from p)
+  select document_id, a.region_id as source_id, b.region_id as target_id, 'continuation_of' as relationship, 0.85::double as confidence from n where a is not null and a.role = 'UNKNOWN' and trim(b.text, E' \t\n\r') <> ''
+    and (not regexp_matches(trim(b.text, E' \t\n\r'), '[.?!:;]$') or not regexp_matches(trim(a.text, E' \t\n\r'), '^\s*(SECTION|PART|Q\d+|\d+\.)', 'i'))""")
 def j18(s, d):
     return RG.cross_page_continuation(regions(s, d).withColumnRenamed("role", "region_type"))
 
@@ -294,12 +297,22 @@ def fused(s, d):
     return GR.fuse_region_hypotheses(regions(s, d).withColumnRenamed("role", "region_type"), h.unionByName(model))
 
 
-@query("j13_fuse_region_hypotheses")
+FUSED = f"""
+  (with h as (select document_id, r.region_id, type, h.confidence, source from ({BODIES["p16_classify_region"]}) h join ({R} select * from regions) r on r.region_id = h.region_id union all select document_id, region_id, role, 0.9, 'vlm' from ({R} select * from regions) where ord % 3 = 0),
+    t as (select document_id, region_id, type, sum(confidence * w) / sum(w) as score, max(confidence) filter (source = 'vlm') as vlm from (select *, case source when 'parser' then 0.85 when 'layout_analyzer' then 0.80 when 'semantic_analyzer' then 0.75 when 'vlm' then 0.90 else 0.70 end as w from h) group by 1, 2, 3),
+    s as (select document_id, region_id, list(struct_pack(type, score, vlm) order by score desc, type) as s, max(vlm) as vlm from t group by 1, 2),
+    x as (select r.document_id, r.region_id, r.role, r.confidence, s[1] as top, s.vlm is not null as given, s.vlm, s.s is null as bare, coalesce(s[1].score >= 0.70 and s[2].score >= 0.70, false) as conflict from ({R} select * from regions) r left join s on s.document_id = r.document_id and s.region_id = r.region_id),
+    y as (select *, given and top.vlm is not null and top.score >= 0.75 and not conflict as agreed, round_even(least(1.0, 0.4 * confidence + 0.6 * top.score * case when conflict then 0.85 else 1.0 end), 4) as base from x)
+  select document_id, region_id, coalesce(top.type, role) as region_type, case when bare then confidence when agreed then round_even(least(1.0, greatest(base, vlm) + 0.05), 4) else base end as confidence,
+    case when bare then 'UNVERIFIED' when conflict then 'CONFLICTED' when agreed then 'VERIFIED' when given then case when top.score >= 0.80 then 'VERIFIED' else 'UNCERTAIN' end when top.score >= 0.85 then 'VERIFIED' when top.score < 0.60 then 'UNCERTAIN' else 'UNVERIFIED' end as verification_state, conflict as classification_conflict from y)"""
+
+
+@query("j13_fuse_region_hypotheses", f"select region_id, region_type, round_even(confidence, 4) as confidence, verification_state, classification_conflict from {FUSED}")
 def j13(s, d):
-    return fused(s, d).select("region_id", "region_type", F.round("confidence", 4).alias("confidence"), "verification_state", "classification_conflict")
+    return fused(s, d).select("region_id", "region_type", F.bround("confidence", 4).alias("confidence"), "verification_state", "classification_conflict")
 
 
-@query("a23_verification_summary")
+@query("a23_verification_summary", f"select document_id, count(*) as total_regions, {', '.join(f'count(*) filter (verification_state = {s!r}) as {s.lower()}_count' for s in ('VERIFIED', 'CONFLICTED', 'UNCERTAIN', 'UNVERIFIED'))} from {FUSED} group by 1")
 def a23(s, d):
     return GR.verification_summary(fused(s, d))
 
@@ -350,12 +363,29 @@ def j19o(s, d):
     return GR.orphan_edges(GR.stitch_split_pages(*halves(s, d))[0]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("j20_collect_continuations")
+WHITE = r"'^\s+|\s+$', '', 'g'"
+#: Regions with their text completed by what continues them.
+FULL = rf"""full_texts as (select r.*, case when more is null or contains(head, more) then head else regexp_replace(concat_ws(' ', head, more), {WHITE}) end as full_text
+  from (select *, regexp_replace(text, {WHITE}) as head from regions) r
+  left join (select document_id, target_id as region_id, string_agg(regexp_replace(text, {WHITE}), ' ' order by page, y, source_id) as more
+    from (select distinct e.document_id, source_id, target_id, c.page, c.y, c.text, c.role from edges e join regions c on c.document_id = e.document_id and c.region_id = e.source_id where relationship = 'continuation_of')
+    where role not in ('QUESTION', 'OPTION', 'SUBQUESTION', 'SECTION_HEADER') and regexp_replace(text, {WHITE}) <> '' group by 1, 2) m on m.document_id = r.document_id and m.region_id = r.region_id)"""
+
+
+@query("j20_collect_continuations", f"{G}, {FULL} select region_id, full_text from full_texts")
 def j20(s, d):
     return GR.collect_continuations(regions(s, d), edges(s, d)).select("region_id", "full_text")
 
 
-@query("j21_attach_options")
+OPTION_PREFIX = r"(?s)^\s*[(\[]?\s*([A-Da-d1-4])\s*[)\].:]\s*(.*)$"
+OPTIONS = rf"""options as (select document_id, target_id as question_id, source_id as option_region_id, coalesce(named, chr((64 + row_number() over (partition by document_id, target_id order by page, y, x, source_id))::integer)) as label, option_text
+  from (select * from (select distinct e.document_id, target_id, source_id, page, x, y, nullif(upper(regexp_extract(full_text, '{OPTION_PREFIX}', 1)), '') as named,
+        case when regexp_matches(full_text, '{OPTION_PREFIX}') then regexp_replace(regexp_extract(full_text, '{OPTION_PREFIX}', 2), {WHITE}) else full_text end as option_text
+      from edges e join full_texts c on c.document_id = e.document_id and c.region_id = e.source_id where relationship = 'option_of' and role not in ('QUESTION', 'SECTION_HEADER', 'HEADER', 'FOOTER') and not (role = 'UNKNOWN' and parent_region_id is not null))
+    qualify option_text = '' or row_number() over (partition by document_id, target_id, lower(option_text) order by page, y, x, source_id) = 1))"""
+
+
+@query("j21_attach_options", f"{G}, {FULL}, {OPTIONS} select document_id, question_id, option_region_id, label, option_text from options")
 def j21(s, d):
     return GR.attach_options(regions(s, d), edges(s, d)).select("document_id", "question_id", "option_region_id", "label", "option_text")
 
@@ -394,7 +424,9 @@ def j24(s, d):
     return GR.orphan_subquestions(regions(s, d), edges(s, d), emitted).select("document_id", "region_id")
 
 
-@query("j25_region_fallback_questions")
+@query("j25_region_fallback_questions", rf"""{R}, g as (select *, count(*) filter (regexp_matches(text, '^\s*(Q(uestion)?\.?\s*|Ans(wer)?\.?\s*)?\d{{1,3}}\s*[.):\-]\s*', 'i')) over (partition by document_id order by {ROW} rows unbounded preceding) as grp from regions where role in ('QUESTION', 'SUBQUESTION', 'UNKNOWN'))
+  select document_id, region_id, regexp_extract(text, '^\s*(?:Q(?:uestion)?\.?\s*|Ans(?:wer)?\.?\s*)?(\d{{1,3}})\s*[.):\-]', 1, 'i') as number, text
+  from (select document_id, grp, arg_min(region_id, (page, y, x, region_id)) as region_id, string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ' order by {ROW}) as text from g where grp > 0 group by 1, 2)""")
 def j25(s, d):
     r = regions(s, d).withColumn("role", F.when(F.col("role") == "QUESTION", "UNKNOWN").otherwise(F.col("role")))
     return GR.region_fallback_questions(r)
@@ -471,7 +503,8 @@ def h9(s, d):
     return GR.source_fidelity(q, regions(s, d))
 
 
-@query("h10_stage_trace")
+@query("h10_stage_trace", f"""{G}, {FULL}, {OPTIONS} select document_id, region_id, page, case when role = 'QUESTION' then case when ord % 21 = 0 or text like '%:' then 'rejected:group_parent' else 'question' end
+    when region_id in (select option_region_id from options) then 'option' when role = 'SECTION_HEADER' then 'section' when parent_region_id is not null then 'continuation' else 'none' end as disposition from regions""")
 def h10(s, d):
     r = regions(s, d)
     return GR.stage_trace(r, verdicts(s, d), GR.attach_options(r, edges(s, d)))

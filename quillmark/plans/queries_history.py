@@ -116,12 +116,15 @@ def h5(s, d):
     return H.revision_history(stored(s, d)).select("assessment_id", "revision_index")
 
 
-@query("h5_snapshot_as_of")
+@query("h5_snapshot_as_of", f"""with f as (select assessment_id, count(*)::integer as n from status_events where state = 'completed' group by 1), t as (select assessment_id, sum(awarded_marks)::decimal(10,2) as marks from ({APPLIED}) group by 1)
+  select assessment_id, 2 as revision_index, t.assessment_id is not null and n >= 2 as from_snapshot, marks, case when n >= 2 and t.assessment_id is not null then '2' end as revision from f left join t using (assessment_id)""")
 def h5a(s, d):
     kept = stored(s, d)
     now = totals(s, d).select("assessment_id", F.to_json(F.struct("assessment_id", "final_awarded_marks")).alias("payload"))
     wanted = finals(s, d).select("assessment_id").distinct().withColumn("revision_index", F.lit(2))
-    return H.snapshot_as_of(kept, now, wanted)
+    rows = H.snapshot_as_of(kept, now, wanted)
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return rows.select("assessment_id", "revision_index", "from_snapshot", field("final_awarded_marks").cast("decimal(10,2)").alias("marks"), field("revision_index").alias("revision"))
 
 
 @query("h6_verify_snapshots", "with c as (select assessment_id, (row_number() over (partition by assessment_id order by ts, event_id))::integer as revision_index from status_events where state = 'completed' and assessment_id in (select assessment_id from question_results)) select assessment_id, revision_index, case when revision_index = 2 then 'hash_mismatch' else 'missing' end as problem from c where revision_index in (2, 3)")
@@ -138,11 +141,15 @@ def j26(s, d):
     return H.apply_criterion_overrides(c, o).select("assessment_id", "question_id", "criterion_id", "status", "awarded_marks")
 
 
-@query("s7_write_report", "select assessment_id, count(*) as questions from question_results group by 1")
+@query("s7_write_report", f"""select assessment_id, revision_index, marks, count(*) as questions, string_agg(concat_ws('/', ord, question_id, question_number, awarded_marks, max_marks, status), ' | ' order by ord, question_id) as listed
+  from question_results join (select assessment_id, 1 as revision_index, sum(awarded_marks)::decimal(10,2)::varchar as marks from ({APPLIED}) group by 1) using (assessment_id) group by 1, 2, 3""")
 def s7(s, d):
+    """Reports as JSON, read back field by field."""
     path = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
     I.write_report(I.report_rows(totals(s, d), T(s, d, "question_results"), F.lit(1)), path)
-    return s.read.schema("assessment_id long, questions array<struct<ord: int>>").json(path).select("assessment_id", F.size("questions").cast("long").alias("questions"))
+    ddl = "assessment_id long, revision_index int, final_awarded_marks decimal(10,2), questions array<struct<ord: int, question_id: string, question_number: string, awarded_marks: decimal(10,2), max_marks: decimal(10,2), status: string>>"
+    said = F.transform("questions", lambda q: F.concat_ws("/", q["ord"], q["question_id"], q["question_number"], q["awarded_marks"], q["max_marks"], q["status"]))
+    return s.read.schema(ddl).json(path).select("assessment_id", "revision_index", F.col("final_awarded_marks").cast("string").alias("marks"), F.size("questions").cast("long").alias("questions"), F.array_join(said, " | ").alias("listed"))
 
 
 def stream(s, d):

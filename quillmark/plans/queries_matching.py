@@ -81,9 +81,11 @@ def s4(s, d):
     return I.explode_questions(I.read_model_responses(responses(s, d))).select("document_id", "id", "question_type", "max_marks", F.length("text").cast("long").alias("n"))
 
 
-@query("s4_explode_answers")
+@query("s4_explode_answers", f"""select * from (select assessment_id::varchar as document_id, 'ans_vlm_p1_' || (row_number() over (partition by assessment_id order by order_index, answer_id) - 1) as answer_id, {REF.format(c="question_number")} as question_number, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as text from answers)
+  where text <> '' or question_number is not null""")
 def s4a(s, d):
-    rows = T(s, d, "answers").groupBy(F.col("assessment_id").cast("string").alias("document_id")).agg(F.collect_list(F.struct("question_number", F.col("text").alias("answer_text"))).alias("answers"))
+    packed = F.array_sort(F.collect_list(F.struct("order_index", "answer_id", "question_number", F.col("text").alias("answer_text"))))
+    rows = T(s, d, "answers").groupBy(F.col("assessment_id").cast("string").alias("document_id")).agg(packed.alias("answers"))
     told = rows.select("document_id", F.lit(1).alias("page"), F.to_json(F.struct("answers")).alias("response_text"), F.lit("STOP").alias("finish_reason"))
     return I.explode_answers(I.read_model_responses(told)).select("document_id", "answer_id", "question_number", "text")
 
