@@ -84,3 +84,30 @@ def test_runs_of_buckets():
         runs = hashing.runs_of(bucket)
         assert [b for b, _, _ in runs] == sorted(set(bucket.tolist()))
         assert all((bucket[x:y] == b).all() for b, x, y in runs) and sum(y - x for _, x, y in runs) == size
+
+
+def plain_entropy(text):
+    best = 0.0
+    for i in range(max(1, len(text) - secret_scan.WINDOW + 1)):
+        part = text[i : i + secret_scan.WINDOW]
+        best = max(best, -sum(part.count(c) / len(part) * np.log2(part.count(c) / len(part)) for c in set(part)))
+    return best
+
+
+def test_window_entropy(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(some), n)) for some in ("ab", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/_-") for n in (1, 2, 19, 20, 21, 22, 60, 400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.e for r in docs.select("t", secret_scan.window_entropy(F.col("t")).alias("e")).collect()}
+    assert all(abs(got[t] - plain_entropy(t)) < 1e-9 for t in texts)
+
+
+def test_secret_scan_long_candidates(spark):
+    """One candidate of 100,000 characters of each kind: time in proportion, one span or none, as for short ones."""
+    rng = np.random.default_rng(4)
+    base64, path = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 100_000)), "ab/" * 33_000 + "12"
+    docs = spark.createDataFrame([(1, base64), (2, path), (3, "12/" * 33_000 + "ab"), (4, "x " + base64[:50_000] + " y")], "doc_id long, text string").repartition(4)
+    begin = time.time()
+    more = {r.doc_id: [(s.kind, s.start, s.end) for s in r.more] for r in secret_scan.scan(docs).collect()}
+    assert time.time() - begin < 90
+    assert more == {1: [("entropy_base64", 0, 100_000)], 2: [], 3: [], 4: [("entropy_base64", 2, 50_002)]}

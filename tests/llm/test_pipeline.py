@@ -28,7 +28,7 @@ def test_stages(spark):
 def test_run_and_names(spark):
     assert pipeline.run(spark, DIR).count() > 0
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontaminate", "packing"]
 
 
@@ -45,3 +45,16 @@ def test_rows_that_repeat_or_lack_an_id(spark):
     assert left == {(None, good), (None, "12 34"), (950_001, "12 34"), (950_001, good), (950_002, None)}
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_copies_go_row_by_row(spark):
+    """Rows that share a doc_id, lack one or repeat whole: one row of each group of copies stays, a different text too."""
+    copy, good = "the words of one text that several rows have in common " * 3, "a clean line of words that nothing else has, honestly"
+    rows = [(1, copy), (5, copy), (5, good), (None, copy), (7, copy), (7, copy), (8, None), (8, None), (8, ""), (None, "only rows without an id say this here"), (None, "only rows without an id say this here")]
+    schema = "doc_id long, text string, row string, number int, place string, component_id string"
+    docs = spark.createDataFrame([(*r, "r", i, "p", "c") for i, r in enumerate(rows)], schema).repartition(3)
+    kept = pipeline.near_copy_stage(spark, docs, DIR)
+    assert kept.columns == docs.columns
+    got = sorted((tuple(r) for r in kept.select("doc_id", "text").collect()), key=str)
+    assert got == sorted([(1, copy), (5, good), (8, None), (8, None), (8, ""), (None, rows[9][1])], key=str)
+    assert kept.where("row = 'r' and place = 'p' and component_id = 'c'").count() == 6
