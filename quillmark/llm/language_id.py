@@ -16,7 +16,7 @@ from .hashing import slices, text_bytes
 
 TRAIN_DOCS, TRAIN_CHARS = 60, 36_000  # of each language, at most
 SYMBOLS = 46  # letters that have a column in the automata; transitions by other ones are looked up
-SEGMENT = 1024  # a phrase doesn't run over the edge of a segment of so many symbols
+SEGMENT = 1024  # symbols that are parsed by themselves at first; what is open at their seams is parsed on (``mend_seams``)
 BLOCK_BYTES = 3 << 20
 OUT_DDL = "doc_id long, lang_pred string, score double, phrase_rate double"
 
@@ -155,11 +155,58 @@ class CrossParser:
                     v[odd] = np.where(on >= 0, on << 2, np.where(begin >= 0, (begin << 2) + 1, v[odd]))
                 count[lang, :k] += v & 3
                 state[lang, :k] = v >> 2
-        count += state != np.array(self.root, self.kind)[:, None]
+        back = np.argsort(order)
+        state, count, start, size, owner = state[:, back], count[:, back].astype(np.int64), start[back], size[back], owner[back]
+        self.mend_seams(whole, start, size, owner, state, count)
+        last = np.append(owner[1:] != owner[:-1], True)  # a text's last phrase is open at its end
+        count += (state != np.array(self.root, self.kind)[:, None]) & last
         for lang in range(len(self.langs)):
             phrases[:, lang] = np.bincount(owner, count[lang], n)
         return letters, phrases
 
+    def advance(self, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and how many phrases end."""
+        v = self.table.take(state + np.where(symbol >= self.width, SYMBOLS + 1, symbol))
+        odd = np.flatnonzero(symbol >= self.width)
+        if len(odd):
+            begin, on = self.after_rare(root[odd], symbol[odd]), self.after_rare(state[odd], symbol[odd])
+            v[odd] = np.where(on >= 0, on << 2, np.where(begin >= 0, (begin << 2) + 1, v[odd]))
+        return v >> 2, v & 3
+
+    def mend_seams(self, whole: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+        """Parse on over the seams between the segments of a text: ``count`` and ``state``, of segments parsed from a fresh
+        start, become those of one parse of the whole text.
+
+        A segment is parsed once more from the state that the one before ends in, beside the fresh parse, until both are in
+        the same state, which is after a few symbols mostly; from there on they are one. Where they don't meet, the segment
+        ends in another state, and the one after it is parsed again with that.
+        """
+        fresh, alone = state.copy(), count.copy()
+        seam = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        lang, seg = (x.ravel() for x in np.meshgrid(np.arange(len(self.langs)), seam, indexing="ij"))
+        roots = np.array(self.root, self.kind)
+        while len(seg):
+            root = roots[lang]
+            ours, theirs, more = state[lang, seg - 1], root.copy(), np.zeros(len(seg), np.int64)
+            live, t = np.flatnonzero(ours != theirs), 0
+            end = fresh[lang, seg]
+            while len(live):
+                symbol = whole[start[seg[live]] + t]
+                a, ended = self.advance(ours[live], symbol, root[live])
+                b, ended_fresh = self.advance(theirs[live], symbol, root[live])
+                ours[live], theirs[live] = a, b
+                more[live] += ended.astype(np.int64) - ended_fresh
+                t += 1
+                over = t == size[seg[live]]
+                end[live[over]] = a[over]
+                live = live[(a != b) & ~over]
+            count[lang, seg] = alone[lang, seg] + more
+            moved = end != state[lang, seg]
+            state[lang, seg] = end
+            again = moved & (seg + 1 < len(owner))
+            again[again] = owner[seg[again] + 1] == owner[seg[again]]
+            lang, seg = lang[again], seg[again] + 1
+
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, phrases for each letter) of each text; ties go to the first language."""
         letters, phrases = self.parse(column)
@@ -193,7 +240,7 @@ def training_texts(docs: DataFrame, label: str) -> tuple[tuple[str, str], ...]:
     first = keys.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("odd", "h", "t"))).where(F.col("rank") <= TRAIN_DOCS)
     # hashes only are ranked; TRAIN_DOCS for each language at most, so that the join is a broadcast one
     chosen = F.broadcast(first.groupBy("label", "h", "t").agg(F.min("rank").alias("rank")))
-    texts = rows.select(F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text").join(chosen, ["label", "h", "t"]).groupBy("label", "h", "t").agg(F.min("rank").alias("rank"), F.min("text").alias("text")).collect()
+    texts = rows.select(F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text").join(chosen, ["label", "h", "t"]).groupBy("label", "h", "t").agg(F.min("rank").alias("rank"), F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).collect()
     langs = sorted({r.label for r in texts})
     halves: tuple[list, list] = ([], [])
     for lang in langs:
@@ -230,8 +277,9 @@ def identify(docs: DataFrame, label: str = "lang", learn_from: DataFrame | None
     The language whose training text needs the fewest phrases wins; as training texts are of one length, the counts are
     normalised. score is 1 - fewest / second fewest. A null text or one without a letter is ``und`` with score 0. Learnt
     only from rows with a label whose crc32(doc_id) mod 4 is not 2; without any, all is ``und``. Repeated rows, and rows
-    without doc_id, are judged like others. ``learn_from`` is a table to learn from in place of ``docs``. Texts are parsed in
-    segments of SEGMENT symbols; by the longest match a cut adds at most one phrase to a segment. Other columns are ignored. The sample that goes to the driver and back is
+    without doc_id, are judged like others. ``learn_from`` is a table to learn from in place of ``docs``. An empty table
+    gives no row. Texts of any length are parsed whole, phrases running on over the segments that are parsed side by side.
+    Other columns are ignored. The sample that goes to the driver and back is
     bounded by TRAIN_DOCS and TRAIN_CHARS for each language; the automata are built where they are used.
     """
     training = training_texts(docs if learn_from is None else learn_from, label)
