@@ -39,7 +39,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop repeated lines, and documents of which only blank lines are left; n_chars follows the text."""
+    """Drop repeated lines, and documents of which only blank lines are left; n_chars follows the text where a line went.
+
+    Null texts stay, rows that repeat doc_id and text are taken for one text; columns are the input's, but n_lines and
+    n_removed hold this stage's counts if the input has columns of these names."""
     done = dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text"), F.lit(" \n\t\r")) == "")
     done = done.where(~F.coalesce(emptied, F.lit(False)))
@@ -47,7 +50,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one of the smallest doc_id, of each group of linked ones."""
+    """Keep one row, the one of the smallest doc_id, of each group of linked ones (``keep_one``).
+
+    Rows are judged one by one: copies that share a doc_id or have none go, different texts of one doc_id stay; null and
+    empty texts stay; columns are the input's. No row: none."""
     return keep_one(docs)
 
 
@@ -57,7 +63,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences of at most 2,048 tokens (``pack_documents``), longer texts in pieces.
+
+    A null or empty text is one piece, its end token; rows that repeat are packed one by one; other columns don't matter."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
