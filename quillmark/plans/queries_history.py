@@ -80,13 +80,13 @@ def s6(s, d):
     return again.select(F.lit(1).alias("again")).unionByName(known.select(F.lit(0).alias("again"))).agg(F.count_if(F.col("again") == 1).alias("written_again"), F.count_if(F.col("again") == 0).alias("written"))
 
 
-@query("p27_canonical_hash", """select assessment_id, question_id, sha256('{"assessment_id":' || assessment_id || ',"criteria":[' || string_agg('{"confidence":' || confidence || ',"id":"' || criterion_id || '","note":' || case when k = 1 then 'null' else '{"by":"' || provenance || '","text":"' || notes || '"}' end || '}', ',' order by k) || '],"marks":{' || string_agg('"' || criterion_id || '":' || max_marks, ',' order by criterion_id) || '},"question_id":"' || question_id || '"}') as hash
+@query("p27_canonical_hash", """select assessment_id, question_id, sha256('{"assessment_id":' || assessment_id || ',"criteria":[' || string_agg('{"confidence":' || confidence || ',"id":"' || criterion_id || '","note":' || case when k = 1 then 'null' else '{"by":"' || provenance || '","text":"' || notes || '"}' end || '}', ',' order by k, case when k <> 1 then notes end, provenance, confidence) || '],"marks":{' || string_agg(distinct '"' || criterion_id || '":' || max_marks, ',' order by '"' || criterion_id || '":' || max_marks) || '},"question_id":"' || question_id || '"}') as hash
   from criterion_evidence group by 1, 2""")
 def p27(s, d):
     """A nested payload whose fields and keys come in another order than that of their names."""
     note = F.when(F.col("k") != 1, F.struct(F.col("notes").alias("text"), F.col("provenance").alias("by")))
     rows = T(s, d, "criterion_evidence").groupBy("question_id", "assessment_id").agg(
-        F.array_sort(F.collect_list(F.struct("k", note.alias("note"), F.col("criterion_id").alias("id"), "confidence"))).alias("c"), F.map_from_entries(F.reverse(F.array_sort(F.collect_list(F.struct("criterion_id", "max_marks"))))).alias("marks"))
+        F.array_sort(F.collect_list(F.struct("k", note.alias("note"), F.when(F.col("k") == 1, F.col("provenance")).alias("by"), F.col("criterion_id").alias("id"), "confidence"))).alias("c"), F.map_from_entries(F.reverse(F.array_sort(F.collect_set(F.struct("criterion_id", "max_marks"))))).alias("marks"))
     rows = rows.withColumn("criteria", F.transform("c", lambda c: F.struct(c["note"].alias("note"), c["id"].alias("id"), c["confidence"].alias("confidence"))))
     return rows.select("assessment_id", "question_id", H.canonical_hash(rows, "question_id", "marks", "criteria", "assessment_id").alias("hash"))
 

@@ -24,7 +24,9 @@ def file_verdict(name: Column, size: Column) -> Column:
 
 
 def scan_file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, extension, reason of every file below ``path``; contents are not read."""
+    """path, length, extension, reason of every file below ``path`` that has any content; contents are not read.
+
+    Spark's file sources leave out files of no bytes, which have nothing to transcribe."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return files.withColumn("v", file_verdict(F.col("path"), F.col("length"))).select("path", "length", "v.extension", "v.reason")
 
