@@ -17,7 +17,7 @@ from .hashing import slices, text_bytes
 TRAIN_DOCS, TRAIN_CHARS = 60, 36_000  # of each language, at most
 SYMBOLS = 46  # letters that have a column in the automata; transitions by other ones are looked up
 SEGMENT = 1024  # symbols that are parsed by themselves at first; what is open at their seams is parsed on (``mend_seams``)
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 OUT_DDL = "doc_id long, lang_pred string, score double, phrase_rate double"
 
 
