@@ -105,6 +105,19 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int
     return int(v[o]) // unit, int(v[o]) % unit + low, int(ends[o])
 
 
+def apart(found: list[tuple[int, int, int, int]], texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """One of the places (item, start, end, edits) that several bands give for one region: the one of the fewest edits.
+
+    Places of an item are the same region if they begin less than half of its length apart.
+    """
+    kept: dict[int, list[tuple[int, int, int, int]]] = {}
+    for i, start, end, edits in sorted(found, key=lambda r: (r[0], r[3], r[1], r[2])):
+        own = kept.setdefault(i, [])
+        if all(2 * abs(start - other[1]) >= len(texts[i]) for other in own):
+            own.append((i, start, end, edits))
+    return [place for own in kept.values() for place in own]
+
+
 def find(items: Items, column: pa.Array) -> list[list[tuple[int, int, int, int]]]:
     """For each text the regions (item_id, start, end, edits), in code points, that are an item within its edit budget."""
     raw, at = text_bytes(column)
@@ -140,11 +153,10 @@ def find(items: Items, column: pa.Array) -> list[list[tuple[int, int, int, int]]
         if found:
             place = was[begin[d] : begin[d + 1]] - at[d]
             chars = np.cumsum((raw[at[d] : at[d + 1]] & 0xC0) != 0x80)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for i, start, end, edits in found:  # the bands of one region
-                key = (i, end // max(1, len(items.texts[i])))
-                best[key] = min(best.get(key, (edits, start, end)), (edits, start, end))
-            out[d] = sorted({(int(items.ids[i]), int(chars[place[s]]) - 1, int(chars[place[e - 1]]), edits) for (i, _), (edits, s, e) in best.items()})
+            regions = []
+            for i, start, end, edits in apart(found, items.texts):
+                regions.append((int(items.ids[i]), int(chars[place[start]]) - 1, int(chars[place[end - 1]]), edits))
+            out[d] = sorted(regions)
     return out
 
 
