@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from quillmark.llm import decontaminate as D
 
 
@@ -90,3 +92,12 @@ def test_each_place_is_one_region(spark):
         first, second, third = r.regions
         assert texts[r.doc_id][second.start : second.end] == item.upper() and second.edits == 0
         assert first.start < second.start < third.start
+
+
+def test_short_copies_side_by_side():
+    """Copies that lost some of their letters end less than an item's length apart, wherever they stand in the text."""
+    item = "measure the width of the old canal before you draw its second lock"
+    short = item.replace("width", "wdh").replace("canal", "cnl")
+    rows = ["z" * n + " " + short + short + " end" for n in range(2 * len(item))]
+    found = D.find(D.Items.of([(7, item)]), pa.array(rows))
+    assert [len(x) for x in found] == [2] * len(rows)
