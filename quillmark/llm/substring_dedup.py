@@ -17,7 +17,7 @@ from .shared_hashes import dropped_bits, pack, unpack
 PERIOD, COVER = 7, np.isin(np.arange(7), (0, 1, 3))
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary())])
 SENT_DDL = "bucket int, block int, hashes binary, owners binary"
-BLOCK_DOCS = 1500
+BLOCK_DOCS, BLOCK_BYTES = 1500, 8 << 20  # of a block, on average: a block is one group of a task
 
 
 def in_order(got: pa.Table) -> tuple[np.ndarray, Words]:
@@ -169,6 +169,12 @@ def remove(window: int):
     return remove_covered
 
 
+def n_blocks(docs: DataFrame) -> int:
+    """How many blocks to deal ``docs`` (text) into, so that one holds few rows and little text, also where all texts are long."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return max(1, -(-rows // BLOCK_DOCS), -(-(size or 0) // BLOCK_BYTES))
+
+
 def digest(rest):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         out = rest(key, docs, answers)
@@ -195,7 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     if window < 2 * PERIOD - 1:
         raise ValueError(f"a window has {2 * PERIOD - 1} words at least")
     n = n_buckets(docs)
-    blocks = max(n, -(-docs.count() // BLOCK_DOCS))
+    blocks = max(n, n_blocks(docs))
     dealt = docs.where("doc_id is not null").select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     answers_ddl = "block int, hashes binary"
     anchored = dealt.groupBy("block").applyInArrow(send_anchors(window, n), SENT_DDL).groupBy("bucket").applyInArrow(shared_anchors, answers_ddl)

@@ -99,6 +99,20 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substring_blocks_by_bytes(spark, monkeypatch):
+    """Long texts make more blocks, and the rows stay as they are."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(d, " ".join(f"{d}x{i}" for i in range(3000)) + " " + passage) for d in range(20)] + [(20, None), (21, "")]
+    docs = frame(spark, rows)
+    assert substring_dedup.n_blocks(docs) == 1 and substring_dedup.n_blocks(frame(spark, [])) == 1
+    want = sorted(tuple(r) for r in substring_dedup.remove_repeats(docs, texts=False).collect())
+    assert [(d, n) for d, _, n, _ in want if n] == [(d, 40) for d in range(1, 20)]
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 1 << 14)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert substring_dedup.n_blocks(docs) == -(-size // (1 << 14)) > 20
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(docs, texts=False).collect()) == want
+
+
 def test_difference_cover():
     cover = [i for i in range(substring_dedup.PERIOD) if substring_dedup.COVER[i]]
     assert {(a - b) % substring_dedup.PERIOD for a in cover for b in cover} == set(range(substring_dedup.PERIOD))
