@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table
 from .hashing import slices, text_bytes
@@ -18,13 +19,11 @@ TRAIN_DOCS, TRAIN_CHARS = 60, 36_000  # of each language, at most
 SYMBOLS = 46  # letters that have a column in the automata; transitions by other ones are looked up
 SEGMENT = 1024  # symbols that are parsed by themselves at first; what is open at their seams is parsed on (``mend_seams``)
 BLOCK_BYTES = 1 << 20
-OUT_DDL = "doc_id long, lang_pred string, score double, phrase_rate double"
 
 
-@lru_cache(1)
-def unicode_letters() -> list[tuple[int, str]]:
+def unicode_letters() -> Iterator[tuple[int, str]]:
     """Code point and lower case of every letter."""
-    return [(i, chr(i).lower()) for i in range(0x110000) if chr(i).isalpha()]
+    return ((i, chr(i).lower()) for i in range(0x110000) if chr(i).isalpha())
 
 
 def automaton(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +54,7 @@ def automaton(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(nxt), width), -1, np.int64)
+    out = np.full((len(nxt), width), -1, np.int32)
     rare = []
     for i, row in enumerate(nxt):
         for c, j in row.items():
@@ -85,9 +84,12 @@ class CrossParser:
         self.span = len(letters) + 3  # more than any symbol
         keys, values = [], []
         tables, self.root, at = [], [], 0
+        # an automaton has at most two states a symbol; the narrower numbers are chosen before it is built, as wide ones take the most memory here
+        self.kind = np.int32 if sum(2 * len(t) + 2 for _, t in training) * self.width * 4 < 1 << 31 else np.int64
         for _, t in training:
             move, rare = automaton(self.symbols(np.frombuffer(t.encode("utf-32-le", "replace"), "<u4")), self.width)
             move[:, SYMBOLS + 1] = -1
+            move = move.astype(self.kind, copy=False)
             begin = move[0]
             jump = np.where(begin >= 0, begin, 0)
             step = np.where(move >= 0, (move + at) * self.width * 4, (jump + at) * self.width * 4 + 1 + (begin < 0))
@@ -97,8 +99,7 @@ class CrossParser:
             values.append((rare[:, 2] + at) * self.width)
             at += len(move)
             tables.append(step)
-        self.kind = np.int32 if at * self.width * 4 < 1 << 31 else np.int64
-        self.table = np.concatenate(tables).ravel().astype(self.kind) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.rare_keys, self.rare_next = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, values))
         order = np.argsort(self.rare_keys)
         self.rare_keys, self.rare_next = self.rare_keys[order], self.rare_next[order]
@@ -259,18 +260,26 @@ def training_texts(docs: DataFrame, label: str) -> tuple[tuple[str, str], ...]:
     return tuple((lang, (kept[lang] if least and len(kept[lang]) > 2000 else whole[lang])[: least or TRAIN_CHARS]) for lang in langs)
 
 
-def label_batches(training: tuple[tuple[str, str], ...]):
+def label_batches(training: tuple[tuple[str, str], ...], text: str, kept: list[str]):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, at = text_bytes(batch.column("text"))
+            _, at = text_bytes(batch.column(text))
             for i, j in slices(at, BLOCK_BYTES):
                 part = batch.slice(i, j - i)
-                lang, score, rate = parser(training).predict(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "phrase_rate"])
+                lang, score, rate = parser(training).predict(part.column(text))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [*kept, "lang_pred", "score", "phrase_rate"])
 
     return label
 
 
+def labelled(docs: DataFrame, learn_from: DataFrame, label: str = "lang", text: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """The columns ``kept`` of each row of ``docs`` (all, if None), and lang_pred, score, phrase_rate of its ``text``: see
+    ``identify``. Rows are told in place, without a shuffle. lang_pred, score and phrase_rate must be no column of ``docs``."""
+    kept = docs.columns if kept is None else kept
+    schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    return docs.mapInArrow(label_batches(training_texts(learn_from, label), text, kept), schema)
+
+
 def identify(docs: DataFrame, label: str = "lang", learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, lang_pred, score, phrase_rate for each row of ``docs`` (integer doc_id, text, and the label to learn from).
 
@@ -282,8 +291,7 @@ def identify(docs: DataFrame, label: str = "lang", learn_from: DataFrame | None
     Other columns are ignored. The sample that goes to the driver and back is
     bounded by TRAIN_DOCS and TRAIN_CHARS for each language; the automata are built where they are used.
     """
-    training = training_texts(docs if learn_from is None else learn_from, label)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label_batches(training), OUT_DDL)
+    return labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs if learn_from is None else learn_from, label, kept=["doc_id"])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
