@@ -208,9 +208,19 @@ def spanned_pages(regions: DataFrame) -> DataFrame:
 
 
 def explain_questions(criteria: DataFrame) -> DataFrame:
-    """Explanation strings of each question by evidence class. criteria has awarded_marks."""
-    marks = F.concat(F.lit("' ("), "awarded_marks", F.lit("/"), "max_marks", F.lit(" marks)"))
-    say = lambda when, text, end: F.when(when, F.concat(F.lit(text), "description", end))
+    """Explanation strings of each question by evidence class. criteria has awarded_marks.
+
+    What the sentences are made of comes together in one list; they are written then, so that they aren't shuffled."""
     s = F.col("status")
-    missing = F.coalesce(say(s == "missing", "Missing required concept '", F.concat(F.lit("' (0/"), "max_marks", F.lit(" marks)"))), say(s == "contradicted", "Contradiction identified in '", F.concat(F.lit("' ("), F.coalesce("notes", F.lit("0 marks")), F.lit(")"))))
-    return criteria.groupBy("assessment_id", "question_id").agg(ordered(say(s == "present", "Satisfied criterion '", marks), "k").alias("strengths"), ordered(say(s == "partially_present", "Partial credit for '", marks), "k").alias("partial_points"), ordered(missing, "k").alias("missing_points"))
+    kind = F.when(s == "present", 1).when(s == "partially_present", 2).when(s == "missing", 3).when(s == "contradicted", 4).cast("byte")
+    some = criteria.withColumn("kind", kind).groupBy("assessment_id", "question_id").agg(F.collect_list(F.when(
+        F.col("kind").isNotNull(), F.struct("k", "kind", "description", F.when(F.col("kind") <= 2, F.col("awarded_marks")).alias("awarded"), F.when(F.col("kind") <= 3, F.col("max_marks")).alias("max"), F.when(F.col("kind") == 4, F.col("notes")).alias("notes")))).alias("some"))
+    marks = lambda c: F.concat(F.lit("' ("), c["awarded"], F.lit("/"), c["max"], F.lit(" marks)"))
+    say = lambda text, c, end: F.concat(F.lit(text), c["description"], end)
+
+    def told(sentence, *kinds: int):
+        rows = F.transform(F.filter("some", lambda c: c["kind"].isin(*kinds)), lambda c: F.struct(c["k"].alias("k"), sentence(c).alias("value")))
+        return F.transform(F.array_sort(F.filter(rows, lambda c: c["value"].isNotNull())), lambda c: c["value"])
+
+    lost = lambda c: F.when(c["kind"] == 3, say("Missing required concept '", c, F.concat(F.lit("' (0/"), c["max"], F.lit(" marks)")))).otherwise(say("Contradiction identified in '", c, F.concat(F.lit("' ("), F.coalesce(c["notes"], F.lit("0 marks")), F.lit(")"))))
+    return some.select("assessment_id", "question_id", told(lambda c: say("Satisfied criterion '", c, marks(c)), 1).alias("strengths"), told(lambda c: say("Partial credit for '", c, marks(c)), 2).alias("partial_points"), told(lost, 3, 4).alias("missing_points"))

@@ -118,3 +118,18 @@ def test_responses(spark):
     got = {r.document_id: r.reason for r in I.read_model_responses(rows).collect()}
     assert got["a"] is None and got["b"] == got["d"] == "no_json" and got["c"] is not None
     assert [q.id for q in I.explode_questions(I.read_model_responses(rows)).collect()] == ["Q1"]
+
+
+def test_explanations_are_written_after_the_shuffle(spark):
+    """Sentences of each class in order, of ties too, without criteria that lack a part; one list is shuffled."""
+    from quillmark.operators import results as R
+
+    rows = [(1, "q", 2, "present", "b", 1.0, 2.0, None), (1, "q", 1, "present", "a", 0.5, 2.0, None), (1, "q", 1, "present", None, 0.5, 2.0, None), (1, "q", 3, "partially_present", "c", None, 2.0, "n"), (1, "q", 5, "contradicted", "d", 0.0, 2.0, None),
+            (1, "q", 5, "missing", "e", 0.0, 2.0, "n"), (1, "q", 4, "contradicted", "f", 0.0, None, "why"), (1, "q", 6, "missing", "g", 0.0, None, "n"), (2, "q", 1, "uncertain", "h", 0.0, 2.0, "n"), (2, "q", 2, None, "h", 0.0, 2.0, "n")]
+    criteria = spark.createDataFrame(rows, "assessment_id long, question_id string, k int, status string, description string, awarded_marks double, max_marks double, notes string")
+    out = R.explain_questions(criteria)
+    assert {r.assessment_id: tuple(r)[2:] for r in out.collect()} == {
+        1: (["Satisfied criterion 'a' (0.5/2.0 marks)", "Satisfied criterion 'b' (1.0/2.0 marks)"], [], ["Contradiction identified in 'f' (why)", "Contradiction identified in 'd' (0 marks)", "Missing required concept 'e' (0/2.0 marks)"]),
+        2: ([], [], [])}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("partial_collect_list(") == 1 and "Satisfied" not in plan.split("partial_collect_list(")[1]
