@@ -109,10 +109,20 @@ PATTERNS = (("CONCEPTUAL_GAP", "missing"), ("PARTIAL_CONCEPT", "partially_presen
 
 
 def question_insights(results: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Lists and references of each question; an unanswered one says only that."""
-    q = lambda text, end: F.concat(F.lit("Q"), "question_number", F.lit(text), "description", F.lit(end))
-    better = F.when(F.col("status") == "partially_present", q(": Partial evidence for '", "'.")).when(F.col("status").isin("missing", "contradicted"), q(": Missing required concept '", "'.")).when(F.col("status") == "uncertain", q(": Evidence for '", "' is inconclusive and may require review."))
-    said = criteria.groupBy("assessment_id", "question_id").agg(ordered(F.when(F.col("status") == "present", q(": Correctly demonstrated '", "'.")), "k").alias("strengths"), ordered(better, "k").alias("improvement_areas"), ordered(F.concat(F.lit("q:"), "question_id", F.lit(":c:"), "criterion_id"), "k").alias("evidence_refs"))
+    """Lists and references of each question; an unanswered one says only that.
+
+    Criteria come together in one list, as in ``explain_questions``."""
+    s = F.col("status")
+    kind = F.when(s == "present", 1).when(s == "partially_present", 2).when(s.isin("missing", "contradicted"), 3).when(s == "uncertain", 4).cast("byte")
+    some = criteria.withColumn("kind", kind).groupBy("assessment_id", "question_id").agg(F.collect_list(F.struct("k", "kind", "question_number", "description", "criterion_id")).alias("some"))
+    q = lambda c, text, end: F.concat(F.lit("Q"), c["question_number"], F.lit(text), c["description"], F.lit(end))
+    better = lambda c: F.when(c["kind"] == 2, q(c, ": Partial evidence for '", "'.")).when(c["kind"] == 3, q(c, ": Missing required concept '", "'.")).when(c["kind"] == 4, q(c, ": Evidence for '", "' is inconclusive and may require review."))
+
+    def told(sentence):
+        rows = F.filter(F.transform("some", lambda c: F.struct(c["k"].alias("k"), sentence(c).alias("value"))), lambda c: c["value"].isNotNull())
+        return F.transform(F.array_sort(rows), lambda c: c["value"])
+
+    said = some.select("assessment_id", "question_id", told(lambda c: F.when(c["kind"] == 1, q(c, ": Correctly demonstrated '", "'."))).alias("strengths"), told(better).alias("improvement_areas"), told(lambda c: F.concat(F.lit("q:"), F.col("question_id"), F.lit(":c:"), c["criterion_id"])).alias("evidence_refs"))
     rows = results.select("assessment_id", "question_id", "question_number", "status", "evaluation_confidence").join(said, ["assessment_id", "question_id"], "left")
     none, open_ = F.array().cast("array<string>"), F.col("status") == "unanswered"
     pick = lambda c, other: F.when(open_, other).otherwise(F.coalesce(c, none)).alias(c)

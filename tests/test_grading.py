@@ -133,3 +133,17 @@ def test_explanations_are_written_after_the_shuffle(spark):
         2: ([], [], [])}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("partial_collect_list(") == 1 and "Satisfied" not in plan.split("partial_collect_list(")[1]
+
+
+def test_insights_are_written_after_the_shuffle(spark):
+    """As ``test_explanations_are_written_after_the_shuffle``."""
+    from quillmark.operators import results as R
+
+    rows = [(1, "q", "1", 2, "present", "b", "c2"), (1, "q", "1", 1, "present", "a", "c1"), (1, "q", "1", 1, "missing", None, "c0"), (1, "q", "1", 3, "uncertain", "c", None), (1, "q", "1", 4, None, "d", "c4"), (2, "q", "2", 1, "present", "a", "c1")]
+    criteria = spark.createDataFrame(rows, "assessment_id long, question_id string, question_number string, k int, status string, description string, criterion_id string")
+    results = spark.createDataFrame([(1, "q", "1", "graded", 0.5), (2, "q", "2", "unanswered", 0.5), (3, "q", "3", "graded", 0.5)], "assessment_id long, question_id string, question_number string, status string, evaluation_confidence double")
+    out = R.question_insights(results, criteria)
+    assert {r.assessment_id: tuple(r)[2:5] for r in out.collect()} == {
+        1: (["Q1: Correctly demonstrated 'a'.", "Q1: Correctly demonstrated 'b'."], ["Q1: Evidence for 'c' is inconclusive and may require review."], ["q:q:c:c0", "q:q:c:c1", "q:q:c:c2", "q:q:c:c4"]),
+        2: ([], ["Q2 was left unanswered."], ["q:q:unanswered"]), 3: ([], [], [])}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("partial_collect_list(") == 1
