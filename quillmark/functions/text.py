@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UUID = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
 
 
+#: White space as Unicode has it, which is what ``(?U)\\s`` matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c: Column | str) -> Column:
-    """Without white space of any kind at both ends (``trim`` takes only U+0020)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends (``trim`` takes only U+0020); only the ends are looked at."""
+    return F.btrim(col(c), F.lit(WHITE))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is named: Spark repeats it in the branches of a CASE."""
+    return F.transform(F.array(value), use)[0]
 
 
 def words(c: Column | str) -> Column:

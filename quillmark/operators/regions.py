@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import has, strip
+from quillmark.functions.text import has, once, strip
 
 # The patterns of the region classifier and guards.
 NUMBERED = r"(?i)^(?:Q(?:uestion)?[\s.\\:]*)?\d+[.):\s]+"
@@ -32,39 +32,52 @@ def normalize_whitespace(c: Column) -> Column:
 
 def is_garbled(c: Column) -> Column:
     """Blank, or six letters or more that are under .4 of the text or without a vowel."""
-    t = strip(F.coalesce(c, F.lit("")))
-    letters = F.regexp_replace(t, r"[^\p{L}]", "")
-    return (t == "") | ((F.length(letters) >= 6) & ((F.length(letters) / F.greatest(F.length(t), F.lit(1)) < 0.4) | ~has(letters, "(?i)[aeiou]")))
+
+    def judged(r: Column) -> Column:
+        n = F.length(r["letters"])
+        return (r["t"] == "") | ((n >= 6) & ((n / F.greatest(F.length(r["t"]), F.lit(1)) < 0.4) | ~has(r["letters"], "(?i)[aeiou]")))
+
+    return once(strip(F.coalesce(c, F.lit(""))), lambda t: once(F.struct(t.alias("t"), F.regexp_replace(t, r"[^\p{L}]+", "").alias("letters")), judged))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)))
-    common, whole = F.size(F.array_intersect(tokens(a), tokens(b))), F.size(F.array_union(tokens(a), tokens(b)))
-    return F.when((F.size(tokens(a)) == 0) | (F.size(tokens(b)) == 0), 0.0).otherwise(common / whole)
+
+    def shared(r: Column) -> Column:
+        whole = F.size(r["a"]) + F.size(r["b"])
+        return F.when((F.size(r["a"]) == 0) | (F.size(r["b"]) == 0), 0.0).otherwise(once(F.size(F.array_intersect(r["a"], r["b"])), lambda n: n / (whole - n)))
+
+    return once(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), shared)
 
 
 def choose_text_source(ocr: Column, model: Column) -> Column:
     """struct(text, source): the character-exact reading unless it is empty, garbled or far from a model's."""
-    o, m = strip(F.coalesce(ocr, F.lit(""))), strip(F.coalesce(model, F.lit("")))
-    out = lambda t, s: F.struct(t.alias("text"), F.lit(s).alias("source"))
-    return F.when(m == "", out(o, "OCR")).when(o == "", out(m, "VLM_FALLBACK_EMPTY_OCR")).when(is_garbled(o) & ~is_garbled(m), out(m, "VLM_FALLBACK_GARBLED_OCR")).when((token_jaccard(o, m) < 0.25) & (F.length(m) >= 3), out(m, "VLM_OVERRIDE_LOW_AGREEMENT")).otherwise(out(o, "OCR"))
+
+    def chosen(r: Column) -> Column:
+        o, m = r["o"], r["m"]
+        out = lambda t, s: F.struct(t.alias("text"), F.lit(s).alias("source"))
+        return F.when(m == "", out(o, "OCR")).when(o == "", out(m, "VLM_FALLBACK_EMPTY_OCR")).when(is_garbled(o) & ~is_garbled(m), out(m, "VLM_FALLBACK_GARBLED_OCR")).when((F.length(m) >= 3) & (token_jaccard(o, m) < 0.25), out(m, "VLM_OVERRIDE_LOW_AGREEMENT")).otherwise(out(o, "OCR"))
+
+    return once(F.struct(strip(F.coalesce(ocr, F.lit(""))).alias("o"), strip(F.coalesce(model, F.lit(""))).alias("m")), chosen)
 
 
 def classify_region(text: Column, y: Column, height: Column, page_height: Column, visual: Column | None = None) -> Column:
     """array of struct(type, confidence, source): what the text, the place and header terms say of a region, in this order."""
-    t = strip(text)
-    numbered, part = has(t, NUMBERED), has(t, PART) | has(t, ROMAN_PART)
     h = lambda kind, conf, source: F.struct(F.lit(kind).alias("type"), F.lit(conf).alias("confidence"), F.lit(source).alias("source"))
     p = lambda kind, conf: h(kind, conf, "parser")
-    parser = (F.when(has(t, INSTRUCTION), p("INSTRUCTION", 0.90)).when(has(t, SECTION), p("SECTION_HEADER", 0.95)).when(numbered & has(t, ASKING), p("QUESTION", 0.92)).when(numbered, p("QUESTION", 0.80))
-              .when(part, p("SUBQUESTION", 0.82)).when(has(t, OPTION), p("OPTION", 0.88)))
-    top, bottom = F.when(page_height > 0, y / page_height).otherwise(0.0), F.when(page_height > 0, (y + height) / page_height).otherwise(0.0)
-    shown = has(t, FIGURE) | (F.coalesce(visual, F.lit(False)) if visual is not None else F.lit(False))
-    tabular = has(t, r"(?m)^\|.*?\|") | has(t, r"(?i)\bTable\s*\d*[:.\s]") | (F.length(t) - F.length(F.replace(t, F.lit("\t"))) >= 2)
     place = lambda kind, conf: h(kind, conf, "layout_analyzer")
-    layout = (F.when(shown, place("DIAGRAM", 0.90)).when(tabular, place("TABLE", 0.88)).when((top < 0.06) & ~has(t, r"[.?!]$") & ~has(t, PREFIXED), place("HEADER", 0.85)).when(bottom > 0.94, place("FOOTER", 0.85)))
-    layout = F.when(~F.coalesce(parser["type"].isin("QUESTION", "SUBQUESTION", "OPTION"), F.lit(False)), layout)
-    return F.array_compact(F.array(parser, layout, F.when(has(t, METADATA), h("METADATA", 0.90, "semantic_analyzer"))))
+    top, bottom = F.when(page_height > 0, y / page_height).otherwise(0.0), F.when(page_height > 0, (y + height) / page_height).otherwise(0.0)
+
+    def said(t: Column) -> Column:
+        parser = (F.when(has(t, INSTRUCTION), p("INSTRUCTION", 0.90)).when(has(t, SECTION), p("SECTION_HEADER", 0.95)).when(has(t, NUMBERED), F.when(has(t, ASKING), p("QUESTION", 0.92)).otherwise(p("QUESTION", 0.80)))
+                  .when(has(t, PART) | has(t, ROMAN_PART), p("SUBQUESTION", 0.82)).when(has(t, OPTION), p("OPTION", 0.88)))
+        shown = has(t, FIGURE) | (F.coalesce(visual, F.lit(False)) if visual is not None else F.lit(False))
+        tabular = has(t, r"(?m)^\|.*?\|") | has(t, r"(?i)\bTable\s*\d*[:.\s]") | (F.length(t) - F.length(F.replace(t, F.lit("\t"))) >= 2)
+        layout = (F.when(shown, place("DIAGRAM", 0.90)).when(tabular, place("TABLE", 0.88)).when((top < 0.06) & ~has(t, r"[.?!]$") & ~has(t, PREFIXED), place("HEADER", 0.85)).when(bottom > 0.94, place("FOOTER", 0.85)))
+        more = F.when(has(t, METADATA), h("METADATA", 0.90, "semantic_analyzer"))
+        return once(parser, lambda own: F.array(own, F.when(~F.coalesce(own["type"].isin("QUESTION", "SUBQUESTION", "OPTION"), F.lit(False)), layout), more))
+
+    return F.array_compact(once(strip(text), said))
 
 
 def resolve_hypotheses(hypotheses: Column) -> Column:
