@@ -93,7 +93,8 @@ SAID = rf"""
 
 @query("p16_classify_region", f"{R} select region_id, h.type as type, h.confidence as confidence, h.source as source from {SAID}")
 def p16(s, d):
-    return hypotheses(s, d).select("region_id", F.explode("hypotheses").alias("h")).select("region_id", "h.type", "h.confidence", "h.source")
+    # outer: for a plain explode Spark filters by the list's size first, which classifies each region twice
+    return hypotheses(s, d).select("region_id", F.explode_outer("hypotheses").alias("h")).where("h is not null").select("region_id", "h.type", "h.confidence", "h.source")
 
 
 @query("p17_resolve_hypotheses", f"""{R}
