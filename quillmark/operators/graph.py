@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import has, ordered, strip
+from quillmark.functions.text import has, once, ordered, strip
 from quillmark.operators.regions import box_scores, display_number, is_fragment, is_group_parent
 
 ROLES = ("QUESTION", "SUBQUESTION", "OPTION", "SECTION_HEADER", "INSTRUCTION", "HEADER", "FOOTER", "METADATA", "DIAGRAM", "TABLE", "ANSWER_REGION", "HANDWRITING", "UNKNOWN")
@@ -117,7 +117,7 @@ def claim_regions(structures: DataFrame, nodes: DataFrame) -> DataFrame:
         return F.struct(F.concat(acc["taken"], F.array_intersect(got, exist)).alias("taken"), F.concat(acc["rows"], rows.cast(CLAIMS)).alias("rows"))
 
     begin = F.struct(F.array().cast(NO_IDS).alias("taken"), F.array().cast(CLAIMS).alias("rows"))
-    done = pages.withColumn("heads", heads).select(*page, F.explode(F.aggregate("all", begin, claim)["rows"]).alias("c"))
+    done = pages.withColumn("heads", heads).select(*page, F.explode_outer(F.aggregate("all", begin, claim)["rows"]).alias("c")).where("c is not null")
     return done.select(*page, "c.ord", "c.region_id", "c.claim", "c.head_id")
 
 
@@ -212,12 +212,13 @@ def stitch_split_pages(top: DataFrame, bottom: DataFrame) -> tuple[DataFrame, Da
         return F.aggregate(F.array(inner), F.struct(acc["tops"].alias("tops"), acc["merged"].alias("merged")), lambda a, i: F.struct(F.concat(a["tops"], F.array(i["top"])).alias("tops"), i["merged"].alias("merged")))
 
     begin = F.struct(none.alias("tops"), F.array().cast(f"array<{merge}>").alias("merged"))
-    done = pages.withColumn("done", F.aggregate("tops", begin, stitch))
-    alone = F.filter("bottoms", lambda b: ~F.exists("done.merged", lambda m: m["ord"] == b["ord"]))
-    done = done.withColumn("alone", alone)
-    half = lambda some, name, shift: done.select(*page, F.explode(some).alias("s"), F.lit(name).alias("half")).select(*page, (F.col("s.ord") + shift).alias("ord"), *(f"s.{c}" for c in shape[1:]), "half")
-    whole = half("done.tops", "top", 0).union(half("alone", "bottom", 10_000))
-    moved = done.select(*page, ids_of(F.col("alone")).alias("kept"), "bottoms", F.posexplode("done.merged").alias("turn", "m"))
+    alone = lambda merged: F.filter("bottoms", lambda b: ~F.exists(merged, lambda m: m["ord"] == b["ord"]))
+    done = pages.withColumn("done", once(F.aggregate("tops", begin, stitch), lambda d: F.struct(d["tops"].alias("tops"), d["merged"].alias("merged"), alone(d["merged"]).alias("alone"))))
+    half = lambda some, name, shift: F.transform(some, lambda s: F.struct((s["ord"] + shift).alias("ord"), *(s[c].alias(c) for c in shape[1:]), F.lit(name).alias("half")))
+    # outer: for a plain explode Spark filters by the list's size first, which folds the page twice
+    both = F.explode_outer(F.concat(half("done.tops", "top", 0), half("done.alone", "bottom", 10_000)))
+    whole = done.select(*page, both.alias("s")).where("s is not null").select(*page, "s.*")
+    moved = done.select(*page, ids_of(F.col("done.alone")).alias("kept"), "bottoms", F.posexplode_outer("done.merged").alias("turn", "m")).where("m is not null")
     ids = F.get(F.filter("bottoms", lambda b: b["ord"] == F.col("m.ord")), F.lit(0))["region_ids"]
     moved = moved.select(*page, "turn", F.col("m.into").alias("new_id"), F.explode(F.array_except(ids, "kept")).alias("old_id")).where("new_id is not null")
     remap = moved.groupBy(*page, "old_id").agg(F.max_by("new_id", "turn").alias("new_id")).where("old_id <> new_id")
@@ -229,12 +230,14 @@ def orphan_edges(whole: DataFrame) -> DataFrame:
 
     whole: as of ``stitch_split_pages``. Of top questions equally low the first counts; one without ids takes none.
     """
-    page = ["document_id", "page"]
+    w = Window.partitionBy("document_id", "page")
     asks = (F.col("role") == "QUESTION") & F.col("y").isNotNull()
-    ends = whole.where(asks).groupBy(*page).agg(F.max_by(F.struct(F.get("region_ids", F.lit(0)).alias("id")), F.when(F.col("half") == "top", F.struct("y", -F.col("ord")))).alias("last"), F.min(F.when(F.col("half") == "bottom", F.col("y"))).alias("below"))
-    parts = whole.where("half = 'bottom' and role in ('OPTION', 'SUBQUESTION') and size(region_ids) > 0").join(ends, page)
+    part = F.expr("half = 'bottom' and role in ('OPTION', 'SUBQUESTION') and size(region_ids) > 0")
+    rows = whole.where(asks | part).where("document_id is not null and page is not null").select("document_id", "page", "ord", "half", "role", "y", "confidence", F.get("region_ids", F.lit(0)).alias("id"))
+    last = F.max_by(F.struct("id"), F.when(asks & (F.col("half") == "top"), F.struct("y", -F.col("ord")))).over(w)
+    parts = rows.withColumns({"last": last, "below": F.min(F.when(asks & (F.col("half") == "bottom"), F.col("y"))).over(w)}).where("half = 'bottom' and role in ('OPTION', 'SUBQUESTION')")
     free = parts.where((F.col("last.id").isNotNull()) & F.coalesce(F.col("y") < F.col("below"), F.lit(True)))
-    return free.select("document_id", F.col("region_ids")[0].alias("source_id"), F.col("last.id").alias("target_id"), F.concat(F.lower("role"), F.lit("_of")).alias("relationship"), "confidence")
+    return free.select("document_id", F.col("id").alias("source_id"), F.col("last.id").alias("target_id"), F.concat(F.lower("role"), F.lit("_of")).alias("relationship"), "confidence")
 
 
 def remap_edges(edges: DataFrame, remap: DataFrame) -> DataFrame:
