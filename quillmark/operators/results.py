@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.steps import together
 from quillmark.functions.text import mround, ordered
 
 REASONS_LOW = 0.55
@@ -94,15 +95,20 @@ def assessment_feedback(results: DataFrame, criteria: DataFrame) -> DataFrame:
 
 
 def student_feedback(results: DataFrame, criteria: DataFrame, most: int = 6) -> DataFrame:
-    """The first strengths, weaknesses and recommendations of an assessment."""
+    """The first strengths, weaknesses and recommendations of an assessment; sentences are written after the shuffle."""
+    s = F.col("status")
+    kind = F.when(s == "present", 1).when(s.isin("missing", "contradicted"), 2).when(s == "partially_present", 3).cast("byte")
+    named = lambda c: F.when(F.col("kind").isNotNull(), F.col(c)).alias(c)
+    rows = criteria.withColumn("kind", kind).select("assessment_id", named("ord"), named("question_id"), named("k"), "kind", named("question_number"), named("description"))
+    last = results.where("status = 'unanswered'").select("assessment_id", "ord", "question_id", F.lit(99).alias("k"), F.lit(4).cast("byte").alias("kind"), "question_number", F.lit(None).cast("string").alias("description"))
+    some = together(rows.unionByName(last), "assessment_id")
+    kind = F.col("kind")
     q = lambda *parts: F.concat(F.lit("Q"), "question_number", *(F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts)))
-    bad, part = F.col("status").isin("missing", "contradicted"), F.col("status") == "partially_present"
-    rows = criteria.select("assessment_id", "ord", "question_id", F.col("k"), F.when(F.col("status") == "present", q(": Mastered '", "description", "'.")).alias("strength"),
-        F.when(bad, q(": Missing concept '", "description", "'.")).when(part, q(": Partial evidence for '", "description", "'.")).alias("weakness"),
-        F.when(bad, F.concat(F.lit("Review '"), "description", F.lit("' for Q"), "question_number", F.lit(" to strengthen core concept mastery."))).when(part, F.concat(F.lit("Elaborate further on '"), "description", F.lit("' in Q"), "question_number", F.lit("."))).alias("recommendation"))
-    last = results.where("status = 'unanswered'").select("assessment_id", "ord", "question_id", F.lit(99).alias("k"), F.lit(None).cast("string").alias("strength"), q(" was unanswered.").alias("weakness"), F.concat(F.lit("Ensure all questions are attempted, including Q"), "question_number", F.lit(".")).alias("recommendation"))
-    lists = {"strengths": "strength", "weaknesses": "weakness", "recommendations": "recommendation"}
-    return rows.unionByName(last).groupBy("assessment_id").agg(*(F.slice(ordered(c, "ord", "question_id", "k"), 1, most).alias(name) for name, c in lists.items()))
+    weakness = F.when(kind == 2, q(": Missing concept '", "description", "'.")).when(kind == 3, q(": Partial evidence for '", "description", "'.")).when(kind == 4, q(" was unanswered."))
+    advice = (F.when(kind == 2, F.concat(F.lit("Review '"), "description", F.lit("' for Q"), "question_number", F.lit(" to strengthen core concept mastery."))).when(kind == 3, F.concat(F.lit("Elaborate further on '"), "description", F.lit("' in Q"), "question_number", F.lit(".")))
+              .when(kind == 4, F.concat(F.lit("Ensure all questions are attempted, including Q"), "question_number", F.lit("."))))
+    lists = {"strengths": F.when(kind == 1, q(": Mastered '", "description", "'.")), "weaknesses": weakness, "recommendations": advice}
+    return some.groupBy("assessment_id").agg(*(F.slice(ordered(c, "ord", "question_id", "k"), 1, most).alias(name) for name, c in lists.items()))
 
 
 PATTERNS = (("CONCEPTUAL_GAP", "missing"), ("PARTIAL_CONCEPT", "partially_present"), ("MISCONCEPTION", "contradicted"))
@@ -149,7 +155,8 @@ def review_priorities(results: DataFrame) -> DataFrame:
 
 def question_summary(results: DataFrame, criteria: DataFrame) -> DataFrame:
     """Marks, percentage and criteria (nested, in order) of each question."""
-    packed = criteria.groupBy("assessment_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("k", "criterion_id", "description", "max_marks", "status", "confidence"))).alias("criteria"))
+    keys, parts = ("assessment_id", "question_id"), ("k", "criterion_id", "description", "max_marks", "status", "confidence")
+    packed = together(criteria.select(*keys, *parts), *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("criteria"))
     out = results.join(packed, ["assessment_id", "question_id"], "left")
     return out.select("assessment_id", "question_id", "max_marks", F.col("awarded_marks").alias("final_awarded_marks"), percentage(F.col("awarded_marks"), F.col("max_marks")).alias("percentage"), "status", "review_status", "criteria")
 
