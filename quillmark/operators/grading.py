@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions.steps import together
 from quillmark.functions.text import col, has, lit_list, mround, ordered, strip, words
 
 # Number words, section marks, stop words and the patterns of the ordered classifiers.
@@ -255,21 +256,29 @@ def criterion_credit(status: Column, notes: Column, max_marks: Column) -> Column
     return mround(max_marks * share.cast("decimal(3,2)"))
 
 
-EVIDENCE_CLASSES = {"correct_evidence": "present", "missing_evidence": "missing", "incorrect_evidence": "contradicted", "partial_evidence": "partially_present", "uncertain_evidence": "uncertain"}
+#: Lists of evidence, and the kinds (``evidence_kind``) in each.
+EVIDENCE_CLASSES = {"correct_evidence": (1,), "missing_evidence": (2,), "incorrect_evidence": (3, 4), "partial_evidence": (5,), "uncertain_evidence": (6,)}
+
+
+def evidence_kind(status: Column, notes: Column) -> Column:
+    """1 present, 2 missing, 3 core and 4 minor contradiction, 5 partially present, 6 uncertain; 0 what else there is."""
+    core = F.lower(F.coalesce(notes, F.lit(""))).contains("core")
+    return F.when(status == "present", 1).when(status == "missing", 2).when((status == "contradicted") & core, 3).when(status == "contradicted", 4).when(status == "partially_present", 5).when(status == "uncertain", 6).when(status.isNotNull(), 0).cast("byte")
 
 
 def score_questions(criteria: DataFrame) -> DataFrame:
-    """Marks, confidence, review flag and the labelled evidence of each question: criteria are collected and sorted once."""
-    s, core = F.col("status"), (F.col("status") == "contradicted") & F.lower(F.coalesce("notes", F.lit(""))).contains("core")
+    """Marks, confidence, review flag and the labelled evidence of each question: criteria are collected and sorted once, after they are shuffled."""
+    kind = evidence_kind(F.col("status"), F.col("notes"))
+    rows = together(criteria.select("assessment_id", "question_id", "k", "description", "max_marks", "confidence", kind.alias("kind"), criterion_credit(F.col("status"), F.col("notes"), F.col("max_marks")).alias("credit")), "assessment_id", "question_id")
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
     say = lambda before, after="": F.concat(F.lit(before), "description", F.lit(after))
-    told = (F.when(s == "present", say("✓ ")).when(s == "missing", say("✗ Missing: ")).when(core, say("✗ Core contradiction: ")).when(s == "contradicted", say("⚠ Minor misstatement: "))
-            .when(s == "partially_present", say("⚠ ", " (Partial coverage)")).when(s == "uncertain", say("? Insufficient evidence: ")))
-    rows = criteria.withColumns({"credit": criterion_credit(s, F.col("notes"), F.col("max_marks")), "told": told})
-    sums = rows.groupBy("assessment_id", "question_id").agg(
-        F.sum("max_marks").alias("max"), F.sum("credit").alias("sum"), F.avg("confidence").alias("mean"), F.bool_or(s == "uncertain").alias("uncertain"), F.bool_or(s == "contradicted").alias("contradicted"), F.bool_or(core).alias("core"),
-        F.array_sort(F.collect_list(F.when(F.col("told").isNotNull(), F.struct("k", "told", "status")))).alias("all"))
-    of = lambda what: F.transform(F.filter("all", lambda c: c["status"] == what), lambda c: c["told"])
-    sums = sums.withColumns({name: of(what) for name, what in EVIDENCE_CLASSES.items()})
+    told = (F.when(is_(1), say("✓ ")).when(is_(2), say("✗ Missing: ")).when(is_(3), say("✗ Core contradiction: ")).when(is_(4), say("⚠ Minor misstatement: "))
+            .when(is_(5), say("⚠ ", " (Partial coverage)")).when(is_(6), say("? Insufficient evidence: ")))
+    sums = rows.withColumn("told", told).groupBy("assessment_id", "question_id").agg(
+        F.sum("max_marks").alias("max"), F.sum("credit").alias("sum"), F.avg("confidence").alias("mean"), F.bool_or(is_(6)).alias("uncertain"), F.bool_or(is_(3, 4)).alias("contradicted"), F.bool_or(is_(3)).alias("core"),
+        F.array_sort(F.collect_list(F.when(F.col("told").isNotNull(), F.struct("k", "told", "kind")))).alias("all"))
+    of = lambda kinds: F.transform(F.filter("all", lambda c: c["kind"].isin(*kinds)), lambda c: c["told"])
+    sums = sums.withColumns({name: of(kinds) for name, kinds in EVIDENCE_CLASSES.items()})
     cap = F.when(F.col("uncertain"), 0.52).when(F.col("contradicted"), 0.68).otherwise(1.0)
     conf = mround(F.least(F.col("mean").cast("double"), cap))
     marks = F.when(F.col("core"), 0).otherwise(F.greatest(F.lit(0), F.least("sum", "max"))).cast("decimal(10,2)")
