@@ -304,7 +304,8 @@ def build_rubric(specs: DataFrame) -> DataFrame:
             .when(F.col("has_math"), two(F.lit("Correct formula and step-by-step calculation method"), 0.6, keyed("Correct final numerical value and units", "Correct final numerical value and units"), 0.4))
             .when(F.col("has_diagram"), two(F.lit("Required diagram structure, components, and labels"), 0.5, F.lit("Accurate text explanation of the diagram"), 0.5))
             .when(F.size(points) >= 2, even(F.transform(points, lambda k: F.concat(F.lit("Addresses key point: "), k)))).otherwise(even(generic)))
-    rows = specs.select("assessment_id", "question_id", "resolved_marks", F.size(plan).alias("n"), F.posexplode(plan).alias("k", "c"))
+    # outer: for a plain posexplode Spark filters by the plan's size first, which makes it twice
+    rows = specs.select("assessment_id", "question_id", "resolved_marks", plan.alias("plan")).select("assessment_id", "question_id", "resolved_marks", F.size("plan").alias("n"), F.posexplode_outer("plan").alias("k", "c")).where("c is not null")
     part = mround(F.col("resolved_marks") * F.col("c.share"))
     w = Window.partitionBy("assessment_id", "question_id")
     rows = rows.withColumn("part", part).withColumn("sum", F.sum("part").over(w))

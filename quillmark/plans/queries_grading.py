@@ -245,13 +245,16 @@ def p5(s, d):
     return o.select("assessment_id", F.concat("question_id", F.lit("-"), "ord").alias("option"), G.option_label(F.col("text")).alias("label"), G.strip_option_prefix(F.col("text")).alias("body"))
 
 
-def evidence(s, d):
-    """Local evidence of every criterion: choices, numbers, regions, keys and lexical similarity."""
-    a = answered(s, d)
-    choice = p6(s, d).select(*KEYS, "letter")
+def parts(s, d):
+    """(answered, rubric), written: what follows reads both several times, and would match all patterns again for each."""
+    return written(answered(s, d), "answered"), written(a2(s, d), "rubric")
+
+
+def evidence(s, d, a, rubric):
+    """Local evidence of every criterion: choices, numbers, regions, keys and lexical similarity. a, rubric: of ``parts``."""
+    choice = G.student_option_choice(a.select(*KEYS, F.col("answer_text").alias("text")), options(s, d)).select(*KEYS, "letter")
     a = a.join(choice, KEYS, "left").withColumn("is_mcq", F.col("expected_answer_type") == "mcq")
     a = a.withColumns({"mcq": G.mcq_evidence(F.col("is_mcq"), F.col("unanswered"), F.col("correct_option"), F.col("letter")), "math": F.when(F.col("has_math"), G.numeric_answer_score(F.col("text"), F.col("answer_text"), F.col("correct_answer"))), "visual": F.when(F.col("has_diagram"), F.struct(F.lit("uncertain").alias("status"), F.lit(0.5).alias("confidence"))), "key_points": F.array().cast("array<string>")})
-    rubric = a2(s, d)
     texts = rubric.join(a.select(*KEYS, "text"), KEYS).select(F.concat_ws("/", *KEYS).alias("corpus_id"), F.col("criterion_id").alias("id"), F.concat_ws(" ", "description", "text").alias("text"))
     said = a.select(F.concat_ws("/", *KEYS).alias("corpus_id"), F.lit("answer").alias("id"), F.coalesce("answer_text", F.lit("")).alias("text"))
     sim = MT.lexical_similarity(texts, said).select("corpus_id", F.col("left_id").alias("criterion_id"), "similarity")
@@ -296,11 +299,11 @@ EVIDENCE = rf"""
 
 @query("p24_criterion_status", f"select assessment_id, question_id, criterion_id, description, max_marks, evidence_status, round_even(evidence_confidence, 6) as evidence_confidence from {EVIDENCE}")
 def p24(s, d):
-    return evidence(s, d).select(*KEYS, "criterion_id", "description", "max_marks", "evidence_status", F.bround("evidence_confidence", 6).alias("evidence_confidence"))
+    return evidence(s, d, *parts(s, d)).select(*KEYS, "criterion_id", "description", "max_marks", "evidence_status", F.bround("evidence_confidence", 6).alias("evidence_confidence"))
 
 
-def local_criteria(s, d):
-    return evidence(s, d).select(*KEYS, "criterion_id", "k", "description", "max_marks", F.col("evidence_status").alias("status"), F.col("evidence_confidence").cast("decimal(4,2)").alias("confidence"), F.col("evidence_notes").alias("notes"))
+def local_criteria(s, d, a, rubric):
+    return evidence(s, d, a, rubric).select(*KEYS, "criterion_id", "k", "description", "max_marks", F.col("evidence_status").alias("status"), F.col("evidence_confidence").cast("decimal(4,2)").alias("confidence"), F.col("evidence_notes").alias("notes"))
 
 
 def routed(a, criteria):
@@ -324,7 +327,8 @@ ROUTES = f"""
 
 @query("p25_grading_route", f"select assessment_id, question_id, decision, reason from {ROUTES}")
 def p25(s, d):
-    return routed(answered(s, d), local_criteria(s, d))
+    a, rubric = parts(s, d)
+    return routed(a, local_criteria(s, d, a, rubric))
 
 
 GRADED = f"""
@@ -345,7 +349,8 @@ FIRST_TWO = "array_to_string(list(case when {0} then {1} || description end orde
   from (select assessment_id, id, {RESOLVED} from questions) join (select assessment_id, question_id as id from {ROUTES} where gone) using (assessment_id, id)""")
 def a25(s, d):
     """Specification, rubric, local evidence, route, marks; unanswered questions beside. Escalated questions whose number is divisible by 4 stand for failed proposals."""
-    a, local = answered(s, d), written(local_criteria(s, d), "evidence")
+    a, rubric = parts(s, d)
+    local = written(local_criteria(s, d, a, rubric), "evidence")
     asked = F.col("decision").isin("LLM_REQUIRED", "LLM_RECOMMENDED")
     failed = asked & (F.col("assessment_id") % 4 == 0)
     kept = G.fallback_evidence(local.join(routed(a, local), KEYS), failed, F.lit(True))
@@ -364,8 +369,8 @@ def a25(s, d):
 def s8(s, d):
     from quillmark.sources.ingest import build_requests
 
-    a = answered(s, d)
-    sent = build_requests(p25(s, d), a.select(*KEYS, "text"), a.select(*KEYS, F.col("answer_text").alias("text")), a2(s, d))
+    a, rubric = parts(s, d)
+    sent = build_requests(routed(a, local_criteria(s, d, a, rubric)), a.select(*KEYS, "text"), a.select(*KEYS, F.col("answer_text").alias("text")), rubric)
     ddl = "question_text string, student_answer string, reason string, criteria array<struct<criterion_id: string, description: string, max_marks: decimal(10,2)>>"
     said = F.transform("p.criteria", lambda c: F.concat_ws("/", c["criterion_id"], c["description"], c["max_marks"]))
     return sent.withColumn("p", F.from_json("payload", ddl)).select(*KEYS, "p.question_text", "p.student_answer", "p.reason", F.size("p.criteria").alias("n"), F.array_join(said, " | ").alias("criteria"))
