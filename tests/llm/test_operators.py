@@ -1,6 +1,7 @@
 """Each operator against a brute force or an exact round trip, and on nulls, ties, repeats, empty and very long texts."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -421,6 +422,26 @@ def test_line_dedup_repeated_ids(spark):
     assert {r.text for r in out if r.doc_id} in ({"first of its kind", f"{line}\nquite another end"}, {f"first of its kind\n{line}", "quite another end"})
 
 
+def test_written_steps_go(spark):
+    """Line dedup and the near-copy stage leave on disk only what their result still reads, and read nothing that has gone."""
+    r = random.Random(8)
+    own = lambda: " ".join(f"{r.choice(WORDS)}{r.randrange(1000)}" for _ in range(60))
+    docs = spark.createDataFrame([(i, f"{own()}\nline {i % 7} that some documents share, with a few more words") for i in range(40)] + [(100 + i, "one two three four five six seven " * 3 + "x" * (i % 2)) for i in range(6)], "doc_id long, text string")
+    folder = common.shared_dir(spark).removeprefix("file:")
+    begin = set(os.listdir(folder))
+    held = lambda: sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - begin)
+    out = line_dedup.dedup_lines(docs)
+    assert held() == ["gone"] and sum(x.n_removed for x in out.collect()) > 33
+    kept = ngram_join.keep_one(docs)
+    assert held() == ["gone", "gone", "rows"] and kept.count() == 41
+    assert ngram_join.ngram_jaccard_components(docs).count() == 46
+    assert held() == ["copies", "gone", "gone", "linked", "rows", "sets"]
+    step = common.materialize(docs, "step")
+    common.discard(step)
+    common.discard(docs)
+    assert "step" not in held()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
