@@ -219,22 +219,43 @@ def call_budget(routed: DataFrame, most: int = CALL_BUDGET) -> DataFrame:
     return routed.withColumns({"reason": F.when(over, "document_llm_budget_exceeded").otherwise(F.col("reason")), "decision": F.when(over, "REVIEW_REQUIRED").otherwise(F.col("decision"))})
 
 
-def validate_proposed_evidence(proposed: DataFrame, rubric: DataFrame) -> DataFrame:
-    """Proposals for criteria that exist, cleaned; marks are never read."""
+EVIDENCE_KEYS = ["assessment_id", "question_id", "criterion_id"]
+
+
+def cleaned_proposals(proposed: DataFrame) -> DataFrame:
+    """Proposals with a known status, a confidence from 0 to 1 and a bounded text; marks are never read."""
     status = F.lower("status")
     status = F.when(status.isin("present", "partially_present", "missing", "contradicted", "uncertain"), status).otherwise("uncertain")
-    keys = ["assessment_id", "question_id", "criterion_id"]
     evidence = F.substring(F.coalesce("evidence", F.lit("")), 1, 150)
-    rows = proposed.select(*keys, status.alias("status"), F.greatest(F.lit(0), F.least(F.lit(1), F.coalesce("confidence", F.lit(0.7)))).cast("decimal(4,2)").alias("confidence"), F.nullif(evidence, F.lit("")).alias("evidence_text"))
+    return proposed.select(*EVIDENCE_KEYS, status.alias("status"), F.greatest(F.lit(0), F.least(F.lit(1), F.coalesce("confidence", F.lit(0.7)))).cast("decimal(4,2)").alias("confidence"), F.nullif(evidence, F.lit("")).alias("evidence_text"))
+
+
+def validate_proposed_evidence(proposed: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Proposals for criteria that exist, cleaned."""
     notes = F.when(F.col("status") != "contradicted", F.concat(F.lit("LLM evidence interpretation (status="), "status", F.lit(")"))).when(F.lower(F.coalesce("evidence_text", F.lit(""))).contains("core"), "Core contradiction identified by LLM evidence").otherwise("Minor contradiction identified by LLM evidence")
-    return rows.join(rubric.select(*keys, "description", "max_marks"), keys).withColumn("notes", notes)
+    return cleaned_proposals(proposed).join(rubric.select(*EVIDENCE_KEYS, "description", "max_marks"), EVIDENCE_KEYS).withColumn("notes", notes)
 
 
 def fuse_evidence(local: DataFrame, proposed: DataFrame) -> DataFrame:
     """Local evidence with what a validated proposal changes of it."""
-    keys = ["assessment_id", "question_id", "criterion_id"]
-    p = proposed.select(*keys, F.col("status").alias("p_status"), F.col("confidence").alias("p_conf"))
-    rows = local.join(p, keys, "left")
+    p = proposed.select(*EVIDENCE_KEYS, F.col("status").alias("p_status"), F.col("confidence").alias("p_conf"))
+    return fused(local.join(p, EVIDENCE_KEYS, "left"))
+
+
+def fuse_proposals(local: DataFrame, proposed: DataFrame) -> DataFrame:
+    """``fuse_evidence`` of proposals that weren't validated, where the local evidence is the rubric itself.
+
+    The join that fuses is then the one that validates: both sides are shuffled once, in many parts (``together``). Where a
+    criterion repeats, a proposal for it does too, as in ``validate_proposed_evidence``."""
+    criteria = together(local.select(*EVIDENCE_KEYS, "k", "description", "max_marks", "notes", "status", "confidence"), *EVIDENCE_KEYS)
+    criteria = criteria.withColumn("copies", F.count("*").over(Window.partitionBy(*EVIDENCE_KEYS)).cast("int"))
+    p = together(cleaned_proposals(proposed).select(*EVIDENCE_KEYS, F.col("status").alias("p_status"), F.col("confidence").alias("p_conf")), *EVIDENCE_KEYS)
+    rows = criteria.join(p, EVIDENCE_KEYS, "left")
+    return fused(rows.select("*", F.explode(F.array_repeat(F.lit(True), F.when(F.col("p_status").isNull(), 1).otherwise(F.col("copies")))).alias("copy")))
+
+
+def fused(rows: DataFrame) -> DataFrame:
+    """Status, confidence and provenance of local evidence (status, confidence) beside a proposal's (p_status, p_conf; null: none)."""
     s, ps, c, pc = F.col("status"), F.col("p_status"), F.col("confidence"), F.col("p_conf")
     agree = s == ps
     solved = s.isin("uncertain", "missing", "partially_present") & ps.isin("present", "partially_present") & (pc >= 0.80)
@@ -242,7 +263,7 @@ def fuse_evidence(local: DataFrame, proposed: DataFrame) -> DataFrame:
     status = F.when(ps.isNull() | agree, s).when(solved, ps).when(ps == "contradicted", ps).when(minor, "partially_present").otherwise("uncertain")
     conf = F.when(ps.isNull(), c).when(agree, F.least(F.lit(0.98), F.greatest(c, pc) + F.lit(0.10).cast("decimal(4,2)"))).when(solved | (ps == "contradicted"), pc).when(minor, F.greatest(F.lit(0.55), F.least(c, pc) - F.lit(0.15).cast("decimal(4,2)"))).otherwise(F.least(F.lit(0.40), c, pc))
     source = F.when(ps.isNull(), "local").when(agree, "fused_agreement").when(solved, "fused_resolution").otherwise("conflict_flagged")
-    return rows.select(*keys, "k", "description", "max_marks", "notes", status.alias("status"), conf.cast("decimal(4,2)").alias("confidence"), source.alias("provenance"))
+    return rows.select(*EVIDENCE_KEYS, "k", "description", "max_marks", "notes", status.alias("status"), conf.cast("decimal(4,2)").alias("confidence"), source.alias("provenance"))
 
 
 def fallback_evidence(criteria: DataFrame, failed: Column, has_text: Column) -> DataFrame:

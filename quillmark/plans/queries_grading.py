@@ -56,7 +56,7 @@ FUSED = f"""
 
 @query("j11_fuse_evidence", FUSED)
 def j11(s, d):
-    return G.fuse_evidence(T(s, d, E), f4(s, d))
+    return G.fuse_proposals(T(s, d, E), T(s, d, "proposed_evidence"))
 
 
 @query("j12_fallback_evidence", "select assessment_id, question_id, criterion_id, case when ord % 4 = 0 and ord % 8 <> 0 and status = 'missing' then 'uncertain' else status end as status, case when ord % 4 = 0 then 'local_fallback' else 'local' end as evaluation_method from criterion_evidence")
