@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.functions.steps import together
 from quillmark.functions.text import UUID, has, strip
 
 # Accepted file types and the largest size.
@@ -124,8 +125,9 @@ def read_results(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 
 def report_rows(summaries: DataFrame, questions: DataFrame, revision: Column) -> DataFrame:
-    """One nested row for each assessment and revision."""
-    packed = questions.groupBy("assessment_id").agg(F.array_sort(F.collect_list(F.struct("ord", "question_id", "question_number", "awarded_marks", "max_marks", "status"))).alias("questions"))
+    """One nested row for each assessment and revision; questions are shuffled before they are collected."""
+    rows = together(questions.select("assessment_id", "ord", "question_id", "question_number", "awarded_marks", "max_marks", "status"), "assessment_id")
+    packed = rows.groupBy("assessment_id").agg(F.array_sort(F.collect_list(F.struct("ord", "question_id", "question_number", "awarded_marks", "max_marks", "status"))).alias("questions"))
     return summaries.join(packed, "assessment_id", "left").withColumn("revision_index", revision)
 
 
