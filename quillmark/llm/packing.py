@@ -93,26 +93,28 @@ class Merges:
         if width > 1:
             rank[:, :-1] = self.look_up(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(-1, width - 1)
         row = np.arange(len(words))
-        out = symbol.copy()
+        out = np.full_like(symbol, -1)
         while len(row):
             place = rank.argmin(1)
             best = rank[np.arange(len(row)), place]
             go = best < self.NONE
             if not go.all():
-                out[row[~go]] = symbol[~go]
+                out[row[~go], :width] = symbol[~go]
                 row, symbol, rank, place, best = row[go], symbol[go], rank[go], place[go], best[go]
                 if not len(row):
                     break
+            # the symbol after the place goes from each word, so that all get shorter by one
+            stay = at[:width] != (place + 1)[:, None]
+            width -= 1
+            symbol, rank = symbol[stay].reshape(-1, width), rank[stay].reshape(-1, width)
             each = np.arange(len(row))
-            source = np.minimum(at + (at > place[:, None]), width - 1)
-            last = symbol[:, -1:] * 0 - 1
-            symbol = np.where(at + (at > place[:, None]) < width, np.take_along_axis(symbol, source, 1), last)
-            rank = np.where(at + (at > place[:, None]) < width, np.take_along_axis(rank, source, 1), self.NONE)
-            symbol[each, place] = best & 0xFFFFFFFF
+            merged = best & 0xFFFFFFFF
+            symbol[each, place] = merged
             before = np.flatnonzero(place > 0)
-            rank[before, place[before] - 1] = self.look_up(symbol[before, place[before] - 1], symbol[before, place[before]])
-            after = np.minimum(place + 1, width - 1)
-            rank[each, place] = np.where(place + 1 < width, self.look_up(symbol[each, place], symbol[each, after]), self.NONE)
+            rank[before, place[before] - 1] = self.look_up(symbol[before, place[before] - 1], merged[before])
+            rank[each, place] = self.NONE
+            after = np.flatnonzero(place + 1 < width)
+            rank[after, place[after]] = self.look_up(merged[after], symbol[after, place[after] + 1])
         used = out >= 0
         data = out[used].astype("<u4").tobytes()
         edge = [0, *(4 * np.cumsum(used.sum(1))).tolist()]
@@ -154,7 +156,7 @@ class WordTokenizer:
                 self.known.update(zip([w for w, _ in part], self.merges.encode([r for _, r in part]), strict=True))
 
     def learn(self, new: set[str]) -> None:
-        words = {c for c in new if c.isalpha() and latin(c)}
+        words = {c for c in new if c.isalpha() and (c.isascii() or latin(c))}
         ending, odd = [], []
         for chunk in new - words:
             core = chunk.rstrip(".,!?;:")
@@ -181,7 +183,7 @@ class WordTokenizer:
         chunks = set().union(*split)
         if len(self.known) > MOST_CACHED:
             self.known = {"": b""}
-        if new := chunks - self.known.keys():
+        if new := chunks.difference(self.known):  # looks up the chunks; a difference with keys() would go through all that is kept
             self.learn(new)
         get = self.known.__getitem__
         return [whole[i] if i in whole else b"".join(map(get, s)) for i, s in enumerate(split)]
