@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import held, table
 from .hashing import slices, text_bytes
 
 TRAIN_DOCS, TRAIN_CHARS = 60, 36_000  # of each language, at most
@@ -221,9 +220,8 @@ class CrossParser:
         return [self.langs[b] if n else "und" for b, n in zip(best, letters, strict=True)], score, rate
 
 
-@lru_cache(2)
 def parser(training: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(training)
+    return held(("parser", training), lambda: CrossParser(training))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import held, materialize, table
 
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
@@ -20,7 +20,6 @@ BINS = pa.schema([("fill", pa.int32()), ("done", pa.bool_()), ("members", MEMBER
 BINS_DDL = "fill int, done boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
 LOCAL_ITEMS = 20_000  # that one best-fit run holds
 MOST_CACHED = 900_000
-_tokenizers: dict = {}
 
 
 def latin(text: str) -> bool:
@@ -191,7 +190,7 @@ class WordTokenizer:
 
 def pieces(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
+        tokenizer = held(("words", path), lambda: WordTokenizer(path))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
